@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, token_shards
+from . import common, exact_dedup, token_shards
 
 
 def vocabulary(name: str) -> str:
@@ -21,5 +21,23 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.with_crc32(token_shards.read_token_shards(spark, path, parts)).drop("ids")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_token_shards": op1_token_shards}
-ORACLES: dict[str, str] = {}
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = exact_dedup.exact_dedup(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
+    return got.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+OP2_SQL = """
+WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
+     g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
+SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, d.text_sha256
+FROM d JOIN g ON d.text_sha256 = g.text_sha256
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_shards": op1_token_shards,
+    "op2_exact_dedup": op2_exact_dedup,
+}
+ORACLES: dict[str, str] = {
+    "op2_exact_dedup": OP2_SQL,
+}
