@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, exact_dedup, token_shards
+from . import common, exact_dedup, token_shards, url_filter
 
 
 def vocabulary(name: str) -> str:
@@ -34,10 +34,46 @@ FROM d JOIN g ON d.text_sha256 = g.text_sha256
 """
 
 
+#: Fixed values of the query: verdict, host, path.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(common.table(spark, sf_dir, "pages"), URL_RULES)
+
+
+OP3_SQL = r"""
+WITH RECURSIVE rules AS (SELECT * FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) t(v, h, p)),
+p AS (SELECT page_id, url, html,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+    regexp_extract(url, '(?s)^.*?://[^?#]*(\?[^#]*)', 1) AS query FROM pages),
+n AS (SELECT *, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || query END AS node FROM p),
+tags AS (SELECT node, host, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM n WHERE node IS NOT NULL),
+t AS (SELECT node, CASE WHEN regexp_matches(tag, '(?i)^<link') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1) ELSE regexp_extract(tag, '(?is)url\s*=\s*["'']?\s*([^"''\s>]+)', 1) END AS target
+    FROM tags WHERE regexp_matches(tag, '(?is)\brel\s*=\s*["'']?[^"''>]*\bcanonical\b|http-equiv\s*=\s*["'']?\s*refresh')),
+e0 AS (SELECT node AS u, translate(regexp_extract(target, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS vh,
+    regexp_extract(target, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS vp, regexp_extract(target, '(?s)^.*?://[^?#]*(\?[^#]*)', 1) AS vq FROM t WHERE target LIKE '%://%'),
+e1 AS (SELECT DISTINCT u, vh || CASE WHEN vp = '' THEN '/' ELSE vp END || vq AS v, vh, vp FROM e0 WHERE vh <> ''),
+names AS (SELECT node, host AS h, path AS q FROM n WHERE node IS NOT NULL UNION SELECT v, vh, vp FROM e1),
+own AS (SELECT node, arg_max(v, length(rules.h || p)) AS verdict FROM names JOIN rules ON (names.h = rules.h OR ends_with(names.h, '.' || rules.h)) AND starts_with(q, p) GROUP BY node),
+pairs AS (SELECT u, v FROM e1 UNION SELECT v, u FROM e1),
+bad(node) AS (SELECT node FROM own WHERE verdict = 'block' UNION SELECT pairs.v FROM bad JOIN pairs ON pairs.u = bad.node),
+reach(node, root) AS (SELECT u, u FROM pairs UNION SELECT pairs.v, root FROM reach JOIN pairs ON pairs.u = reach.node),
+comp AS (SELECT node, min(root) AS component FROM reach GROUP BY node),
+mine AS (SELECT page_id, arg_max(rules.h || p, length(rules.h || p)) AS rule, arg_max(v, length(rules.h || p)) AS verdict
+    FROM (SELECT DISTINCT page_id, host, path FROM n) x JOIN rules ON (x.host = rules.h OR ends_with(x.host, '.' || rules.h)) AND starts_with(x.path, p) GROUP BY page_id)
+SELECT n.page_id, n.host, n.path, mine.rule, coalesce(mine.verdict, CASE WHEN bad.node IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, comp.component
+FROM n LEFT JOIN mine USING (page_id) LEFT JOIN bad ON bad.node = n.node LEFT JOIN comp ON comp.node = n.node
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_url_filter": op3_url_filter,
 }
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": OP2_SQL,
+    "op3_url_filter": OP3_SQL,
 }
