@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common, exact_dedup, token_shards, url_filter
+from . import common, exact_dedup, pii, token_shards, url_filter, warc
 
 
 def vocabulary(name: str) -> str:
@@ -68,10 +69,28 @@ FROM n LEFT JOIN mine USING (page_id) LEFT JOIN bad ON bad.node = n.node LEFT JO
 """
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.scratch(spark, "warc")
+    warc.write_archives(common.table(spark, sf_dir, "pages"), path)
+    rows = warc.assemble(warc.read_records(spark, path, with_payload=False))
+    return rows.select("page_id", F.col("capture.payload_bytes").alias("payload_bytes"), F.col("capture.payload_digest").alias("payload_digest"), F.col("capture.type").alias("record_type"), "refers_to")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.col("found")
+    join = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of = lambda kind: F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("long")
+    counts = [of(k).alias(f"n_{k}") for k in pii.BASE]
+    base = F.filter(found, lambda s: s["kind"].isin(*pii.BASE))
+    return pii.detect(common.table(spark, sf_dir, "documents")).select("doc_id", *counts, F.sha2(join(base).cast("binary"), 256).alias("base_sha256"), join(found).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_url_filter": op3_url_filter,
+    "op7_warc": op7_warc,
+    "op8_pii": op8_pii,
 }
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": OP2_SQL,
