@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact_dedup, pii, token_shards, url_filter, warc
+from . import common, exact_dedup, langid, pii, token_shards, url_filter, warc
 
 
 def vocabulary(name: str) -> str:
@@ -69,6 +69,12 @@ FROM n LEFT JOIN mine USING (page_id) LEFT JOIN bad ON bad.node = n.node LEFT JO
 """
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
+    return langid.predict(docs, model).withColumn("held_out", langid.held_out(F.col("doc_id")))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.scratch(spark, "warc")
     warc.write_archives(common.table(spark, sf_dir, "pages"), path)
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_url_filter": op3_url_filter,
+    "op5_language": op5_language,
     "op7_warc": op7_warc,
     "op8_pii": op8_pii,
 }
