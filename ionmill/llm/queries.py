@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact_dedup, langid, packing, pii, token_shards, url_filter, warc
+from . import common, decontam, exact_dedup, langid, packing, pii, token_shards, url_filter, warc
 
 
 def vocabulary(name: str) -> str:
@@ -91,6 +91,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(common.table(spark, sf_dir, "documents")).select("doc_id", *counts, F.sha2(join(base).cast("binary"), 256).alias("base_sha256"), join(found).alias("spans"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
@@ -102,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language": op5_language,
     "op7_warc": op7_warc,
     "op8_pii": op8_pii,
+    "op9_decontamination": op9_decontamination,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {
