@@ -1,9 +1,11 @@
 """Operator 2: exact deduplication as a stateful stream, DataFrame functions only.
 
-The stream groups rows by the SHA-256 of the normalised text (A-Z lower-cased, null as empty) in a RocksDB state store on disk, with no
-watermark, so a key never expires. State per digest: the largest doc_id (stable identifier), how many rows, and the file
-and row position of the row that stays (content locator). Rows are combined in each map task first, so a hot text sends
-one row per task. Later micro-batches continue the state.
+A file stream groups rows by the SHA-256 of the normalised text (A-Z lower-cased, null as empty). Its keyed state lies on disk in the shared
+folder, with no watermark, so a key never expires: every micro-batch adds one segment of (digest, largest doc_id as stable
+identifier, file and row position of that row as content locator, number of rows), and the state of a digest is the combination of its rows over all
+segments. A batch that runs again replaces its own segment. Rows are combined in
+each map task first, so a hot text sends one row per task. Spark's own RocksDB store holds 4 MB or more of disk per
+shuffle partition and copy, which breaks the disk limit at 211 partitions.
 
 On hits (digests with more than one row) the full bytes are compared: the smallest and the largest normalised text of such a digest
 must be equal. If not (a digest collision), its rows are grouped by the text itself.
@@ -46,38 +48,25 @@ def run_stream(spark: SparkSession, path: str, state: str, schema, bits: int = 2
         F.col("doc_id").cast("long").alias("doc_id"),
         F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("locator"),
     )
-    keyed = rows.groupBy("digest").agg(
-        F.max(F.struct(F.col("doc_id"), F.col("locator"))).alias("keep"),
-        F.count(F.lit(1)).alias("group_size"),
-    )
-    settings = {
-        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
-        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
-    }
-    old = {k: spark.conf.get(k, None) for k in settings}
-    try:
-        for k, v in settings.items():
-            spark.conf.set(k, v)
-        query = keyed.writeStream.format("noop").outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+    def add(batch: DataFrame, number: int) -> None:
+        keyed = batch.groupBy("digest").agg(F.max(F.struct("doc_id", "locator")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+        keyed.write.mode("overwrite").parquet(f"{state}/segments/segment={number}")  # a repeated batch replaces its own segment
+
+    stream = rows.writeStream.foreachBatch(add).option("checkpointLocation", f"{state}/progress").trigger(availableNow=True).start()
+    stream.awaitTermination()
+
+
+def _merged(spark: SparkSession, state: str) -> DataFrame:
+    return spark.read.parquet(f"{state}/segments").groupBy("digest").agg(F.max("keep").alias("keep"), F.sum("group_size").alias("group_size"))
 
 
 def read_state(spark: SparkSession, state: str) -> DataFrame:
     """The keyed state: digest, keep_id, group_size, locator."""
-    got = spark.read.format("statestore").load(state)
-    fields = got.schema["value"].dataType.names
-    return got.select(
-        F.col("key.digest").alias("digest"),
-        F.col("value")[fields[0]]["doc_id"].alias("keep_id"),
-        F.col("value")[fields[1]].alias("group_size"),
-        F.col("value")[fields[0]]["locator"].alias("locator"),
-    )
+    held = spark.read.parquet(f"{state}/segments")
+    several = held.agg(F.countDistinct("segment") > 1).first()[0]
+    whole = _merged(spark, state) if several else held
+    return whole.select("digest", F.col("keep.doc_id").alias("keep_id"), "group_size", F.col("keep.locator").alias("locator"))
 
 
 def exact_dedup(spark: SparkSession, path: str, bits: int = 256, state: str | None = None) -> DataFrame:
@@ -88,7 +77,7 @@ def exact_dedup(spark: SparkSession, path: str, bits: int = 256, state: str | No
     if docs.isEmpty():
         groups = spark.createDataFrame([], "digest string, keep_id long, group_size long, locator struct<file:string,row:long>")
     else:
-        groups = common.materialize(read_state(spark, state), "dedup-groups")
+        groups = read_state(spark, state)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("norm")).withColumn("digest", digest_of(F.col("norm"), bits))
 
     hits = groups.where("group_size > 1").select("digest")
