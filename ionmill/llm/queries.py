@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontam, exact_dedup, langid, packing, pii, token_shards, url_filter, warc
+from . import common, decontam, exact_dedup, jaccard_join, langid, packing, pii, token_shards, url_filter, warc
 
 
 def vocabulary(name: str) -> str:
@@ -75,6 +75,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).withColumn("held_out", langid.held_out(F.col("doc_id")))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(common.table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.scratch(spark, "warc")
     warc.write_archives(common.table(spark, sf_dir, "pages"), path)
@@ -104,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_url_filter": op3_url_filter,
     "op5_language": op5_language,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_warc": op7_warc,
     "op8_pii": op8_pii,
     "op9_decontamination": op9_decontamination,
