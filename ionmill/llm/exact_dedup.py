@@ -93,3 +93,21 @@ def exact_dedup(spark: SparkSession, path: str, bits: int = 256, state: str | No
     sound = whole.join(clash, "digest", "left_anti").drop("norm").join(groups, "digest").select(*verdict, "text_sha256", "locator")
     split = whole.join(clash, "digest", "left_semi").join(by_text, "norm").select(*verdict, "text_sha256", F.lit(None).cast(groups.schema["locator"].dataType).alias("locator"))
     return sound.unionByName(split)
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, without copies: the largest doc_id of each text stays, and one of rows that repeat it."""
+    spark = docs.sparkSession
+    path = common.scratch(spark, "dedup-input")
+    common.materialize(docs.select("doc_id", "text"), "dedup-input", path)
+    verdict = common.materialize(exact_dedup(spark, path).select("doc_id", "kept", "text_sha256"), "dedup-verdict")
+    common.drop_folder(spark, path)
+    key = [F.sha2(normalised().cast("binary"), 256).alias("_sha"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id")]
+    marked = docs.select("*", *key)
+    gone = verdict.where("not kept").select(F.col("text_sha256").alias("_sha"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id")).distinct()
+    few = gone.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
+    left = marked.join(F.broadcast(gone) if few else gone, ["_sha", "_id"], "left_anti")
+    again = common.materialize(verdict.where("kept").groupBy("text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("text_sha256").alias("_sha")), "dedup-again")
+    if not again.isEmpty():
+        left = left.join(again, "_sha", "left_anti").unionByName(left.join(again, "_sha", "left_semi").dropDuplicates(["_sha"]))
+    return left.select(*docs.columns)

@@ -351,3 +351,16 @@ def jaccard_components(docs: DataFrame, *, common_docs: int = 64, common_most: i
     return rows.join(named.select("fp", "component_id", "class_size"), "fp", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("class_size")).otherwise(F.lit(1)).alias("class_size")
     )
+
+
+def keep_one(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs``, all columns, with one document of each group: the one with the smallest doc_id."""
+    counts = docs.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
+    if counts[0] != counts[1]:  # ids repeat or are null: number the rows
+        named = common.materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    else:
+        named = docs.withColumn("_row", F.col("doc_id").cast("long"))
+    groups = jaccard_components(named.select(F.col("_row").alias("doc_id"), "text"), **settings)
+    gone = common.materialize(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_row")), "near-copies")
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return named.join(F.broadcast(gone) if few else gone, "_row", "left_anti").select(*docs.columns)
