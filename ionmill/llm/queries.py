@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontam, exact_dedup, jaccard_join, langid, packing, pii, token_shards, url_filter, warc
+from . import common, decontam, exact_dedup, html_extract, jaccard_join, langid, packing, pii, token_shards, url_filter, warc
 
 
 def vocabulary(name: str) -> str:
@@ -69,6 +69,10 @@ FROM n LEFT JOIN mine USING (page_id) LEFT JOIN bad ON bad.node = n.node LEFT JO
 """
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(common.table(spark, sf_dir, "pages"), html_extract.fit())
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
@@ -107,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_url_filter": op3_url_filter,
+    "op4_html_text": op4_html_text,
     "op5_language": op5_language,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_warc": op7_warc,
