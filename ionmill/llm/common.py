@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,6 +51,12 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of steps that nothing refers to any more; it acts on garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def file_system(uri: str):
     """(pyarrow file system, path) of a URI, for use on executors."""
     from pyarrow import fs

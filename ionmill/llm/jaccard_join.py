@@ -12,11 +12,13 @@ partitions are not signed: a set with fewer than n - k of them shares a signatur
 Shingles that many documents share form a partition of their own, which is not signed either; which shingles these are
 changes the speed and not the result, so they may be the ``common_most`` most frequent ones only.
 
-Reduction. Signatures go to buckets as packed blocks of 6 bytes each and are sorted there; sets that share one become a list.
-Lists that are equal are kept once. A list links through stars: its members are verified against a pivot, components are updated, and only
-members of different components are looked at again, with another pivot; after ``star_rounds`` the remaining pairs of different
-components are verified all. So a group of a thousand near copies costs a few thousand verifications, and no link that could
-join two components is left out. Every candidate is verified on whole sets. Components are found by alternating stars.
+Reduction. Signatures go to buckets as packed blocks of 5 bytes each and are sorted there; sets that share one become a list.
+Lists that are equal are kept once. A list links through stars: its members are verified against a pivot, the member that meets
+most others (an original rather than one of its copies, so that all lists of a group have one pivot); the pivot leaves the list, components are
+updated, and only lists with members of different components go on, with the next pivot; after ``star_rounds`` the remaining pairs of
+different components are verified all. So a group of a thousand near copies costs a few thousand verifications, and no link that could
+join two components is left out. Candidates whose parity sketches already differ in
+more bits than linked sets can differ in shingles are dropped (a bound, not an estimate). Every other candidate is verified on whole sets. Components are found by alternating stars.
 
 Rows: one per input row. Null or empty text, or text without words: no shingles, component_id is the row's own doc_id. Repeated rows are equal
 sets. A null doc_id is above every other when the smallest is sought. An empty table gives no rows. Only doc_id and text are read.
@@ -174,7 +176,7 @@ def _summary(docs: DataFrame, least_in_task: int, held_shingles: int) -> DataFra
 
 
 def _blocks(docs: DataFrame, frequent, n_buckets: int, held_shingles: int) -> DataFrame:
-    """(bucket, block): packed signatures. A block is sets (uint32), fp of each (16 bytes), signatures of each (uint32), then 6 bytes per signature."""
+    """(bucket, block): packed signatures. A block is sets (uint32), fp of each (16 bytes), signatures of each (uint32), then 5 bytes per signature."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -186,15 +188,15 @@ def _blocks(docs: DataFrame, frequent, n_buckets: int, held_shingles: int) -> Da
             sig, owner = signatures(hashes, first, common_ones)
             bucket = (sig % _U(n_buckets)).astype(np.int64)
             order = np.lexsort((owner, bucket))
-            sig, owner, bucket = (sig >> _U(16))[order], owner[order], bucket[order]
-            six = sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            sig, owner, bucket = (sig >> _U(24))[order], owner[order], bucket[order]
+            short = sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
             edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
             out_bucket, out = [], []
             for k in np.flatnonzero(np.diff(edges)):
                 a, b = edges[k], edges[k + 1]
                 who, counts = np.unique(owner[a:b], return_counts=True)
                 out_bucket.append(int(k))
-                out.append(b"".join([np.uint32(len(who)).tobytes(), fp[who].tobytes(), counts.astype("<u4").tobytes(), six[a:b].tobytes()]))
+                out.append(b"".join([np.uint32(len(who)).tobytes(), fp[who].tobytes(), counts.astype("<u4").tobytes(), short[a:b].tobytes()]))
             return pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array(out, pa.binary())], ["bucket", "block"])
 
         for batch in batches:
@@ -226,9 +228,9 @@ def _unpack(blocks) -> tuple[np.ndarray, np.ndarray]:
         n = int(np.frombuffer(data, "<u4", 1)[0])
         fp = np.frombuffer(data, "<u8", 2 * n, 4).reshape(n, 2)
         counts = np.frombuffer(data, "<u4", n, 4 + 16 * n)
-        raw = np.frombuffer(data, np.uint8, -1, 4 + 20 * n).reshape(-1, 6)
+        raw = np.frombuffer(data, np.uint8, -1, 4 + 20 * n).reshape(-1, 5)
         wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :6] = raw
+        wide[:, :5] = raw
         sigs.append(wide.view("<u8").ravel())
         fps.append(np.repeat(fp, counts, axis=0))
     return np.concatenate(sigs), np.concatenate(fps)
@@ -264,10 +266,28 @@ def _lists(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("bucket").applyInArrow(run, "lid long, members array<binary>").dropDuplicates(["lid"])
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFrame:
-    """(fp, hashes) of the wanted fingerprints, from the texts of one document each."""
+#: 64-bit words of a parity sketch.
+SKETCH = 16
+
+
+def sketches(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Per set, for each of 64 * SKETCH cells the parity of its shingles there. Two sets differ in at least as many shingles as their sketches differ in bits."""
+    n, bits = len(first) - 1, 64 * SKETCH
+    cell = (mix(hashes ^ _U(0xC0FFEE)) % _U(bits)).astype(np.int64) + np.repeat(np.arange(n), np.diff(first)) * bits
+    parity = (np.bincount(cell, minlength=n * bits) & 1).astype(np.uint8)
+    return np.packbits(parity, bitorder="little").view("<i8").reshape(n, SKETCH)
+
+
+def may_link(a: str, n: str, b: str, m: str):
+    """Linked sets of n and m shingles differ in (n + m) / 7 of them at most, and their sizes in the ratio 3 : 4."""
+    apart = sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(SKETCH)), F.lit(0))
+    return (F.least(n, m) * 4 >= F.greatest(n, m) * 3) & (apart * 7 <= F.col(n) + F.col(m))
+
+
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(fp, n, sketch, text) of the wanted (fp, low) fingerprints, from the document of that id each."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    ids = wanted.join(classes, "fp").select(F.coalesce("low", F.lit(-(1 << 63))).alias("key")).distinct()
+    ids = wanted.select(F.coalesce("low", F.lit(-(1 << 63))).alias("key")).distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = docs.select(key.alias("key"), "text").join(F.broadcast(ids) if few else ids, "key", "left_semi")
 
@@ -278,10 +298,11 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFram
             _, texts = _texts(batch)
             for a, b in tokens.in_slices(texts, 2_000_000):
                 hashes, first = shingle_sets(texts[a:b])
-                fp = fingerprints(hashes, first)
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in fp], pa.binary()), pa.array([hashes[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["fp", "hashes"])
+                fp, sketch = fingerprints(hashes, first), sketches(hashes, first)
+                cols = [pa.array([x.tobytes() for x in fp], pa.binary()), pa.array(np.diff(first)), pa.array(sketch.tolist(), pa.list_(pa.int64())), pa.array(texts[a:b], pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, ["fp", "n", "sketch", "text"])
 
-    return texts.mapInArrow(run, "fp binary, hashes binary").dropDuplicates(["fp"])
+    return texts.mapInArrow(run, "fp binary, n long, sketch array<long>, text string")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = 75) -> bool:
@@ -289,22 +310,27 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = 75) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (u, v) that link."""
+def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The (u, v) that link, by the whole sets of their texts."""
 
     def run(batches: Iterator) -> Iterator:
-        for batch in batches:
-            import pyarrow as pa
-
-            left, right = batch.column(2), batch.column(3)
-            good = [linked(np.frombuffer(a.as_buffer(), "<u8"), np.frombuffer(b.as_buffer(), "<u8")) for a, b in zip(left, right, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
+        import pyarrow as pa
 
-    full = pairs.join(sets.select(F.col("fp").alias("u"), F.col("hashes").alias("left")), "u").join(sets.select(F.col("fp").alias("v"), F.col("hashes").alias("right")), "v")
+        for batch in batches:
+            u, v, left, right = (batch.column(k).to_pylist() for k in range(4))
+            for a, b in tokens.slices([len(x) + len(y) for x, y in zip(left, right, strict=True)], 2_000_000):
+                by_name = dict(zip(u[a:b], left[a:b], strict=True)) | dict(zip(v[a:b], right[a:b], strict=True))
+                place = {name: k for k, name in enumerate(by_name)}
+                hashes, first = shingle_sets(list(by_name.values()))
+                of = lambda name: hashes[first[place[name]]:first[place[name] + 1]]  # noqa: B023, E731
+                good = [linked(of(x), of(y)) for x, y in zip(u[a:b], v[a:b], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(u[a:b], pa.binary()), pa.array(v[a:b], pa.binary())], ["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    full = pairs.join(texts.select(F.col("fp").alias("u"), F.col("text").alias("left")), "u").join(texts.select(F.col("fp").alias("v"), F.col("text").alias("right")), "v")
     return full.select("u", "v", "left", "right").mapInArrow(run, "u binary, v binary")
 
 
-def jaccard_components(docs: DataFrame, *, common_docs: int = 64, common_most: int = 500_000, least_in_task: int = 3, star_rounds: int = 3, held_shingles: int = 1_000_000, n_buckets: int | None = None) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, common_docs: int = 64, common_most: int = 500_000, least_in_task: int = 3, star_rounds: int = 2, held_shingles: int = 1_000_000, n_buckets: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, class_size of every row."""
     spark = docs.sparkSession
     summary = common.materialize(_summary(docs, least_in_task, 4 * held_shingles), "shingles")
@@ -313,31 +339,45 @@ def jaccard_components(docs: DataFrame, *, common_docs: int = 64, common_most: i
     top = [r.shingle for r in often.orderBy(F.desc("docs"), "shingle").limit(common_most).select("shingle").collect()]  # speed only; at most 8 bytes x common_most
     frequent = spark.sparkContext.broadcast(np.sort(np.array(top, np.int64).view(np.uint64)))
 
-    classes = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("class_size"))
+    classes = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.count(F.lit(1)).alias("class_size"))
     buckets = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     lists = common.materialize(_lists(_blocks(docs, frequent, buckets, held_shingles)), "lists")
-    members = lists.select("lid", F.explode("members").alias("fp"))
-    sets = common.materialize(_sets_of(docs, members.select("fp").distinct(), classes), "sets")
+    members = lists.select("lid", F.size("members").alias("m"), F.explode("members").alias("fp"))
+    known = members.groupBy("fp").agg(F.sum("m").alias("weight")).join(classes.select("fp", "n", "low"), "fp")
+    known = common.materialize(known, "members")
+    left = common.materialize(members.select("lid", "fp").join(known.select("fp", "weight", "n"), "fp"), "lists")
+    common.release(spark)
+    texts = common.materialize(_texts_of(docs, known.select("fp", "low")), "texts")
+    sizes = texts.agg(F.count(F.lit(1)), F.countDistinct("fp")).first()
+    if sizes[0] != sizes[1]:  # rows that repeat a doc_id
+        texts = common.materialize(texts.dropDuplicates(["fp"]), "texts")
+
+    sketch_u, sketch_v = (texts.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "uv")
 
     links, comps, tested = None, None, None
     for step in range(star_rounds + 1):
-        if comps is None:
-            now = members.withColumn("comp", F.col("fp"))
-        else:
-            now = members.join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-        open_lists = now.groupBy("lid").agg(F.min("comp").alias("one"), F.max("comp").alias("other"), F.min(F.struct(F.xxhash64("fp", F.lit(step)).alias("draw"), F.col("fp"), F.col("comp"))).alias("pivot")).where("one <> other")
+        now = left.withColumn("comp", F.col("fp")) if comps is None else left.join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+        pivots = now.groupBy("lid").agg(F.min("comp").alias("one"), F.max("comp").alias("other"), F.max(F.struct("weight", "fp", "n", "comp")).alias("pivot")).where("one <> other")
+        still_open = common.materialize(now.join(pivots.select("lid", "pivot"), "lid"), "open-lists")
+        if still_open.isEmpty():
+            break
         if step < star_rounds:
-            found = open_lists.join(now, "lid").where(F.col("comp") != F.col("pivot.comp")).select(F.least("fp", "pivot.fp").alias("u"), F.greatest("fp", "pivot.fp").alias("v"))
+            found = still_open.where(F.col("comp") != F.col("pivot.comp")).select(F.least("fp", "pivot.fp").alias("u"), F.greatest("fp", "pivot.fp").alias("v")).distinct()
+            found = found.join(sketch_u, "u").join(sketch_v, "v").where(may_link("su", "nu", "sv", "nv")).select("u", "v")
+            left = still_open.where(F.col("fp") != F.col("pivot.fp")).select("lid", "fp", "weight", "n")
         else:
-            left = open_lists.select("lid").join(now, "lid")
-            found = left.join(left.select("lid", F.col("fp").alias("fp2"), F.col("comp").alias("comp2")), "lid").where("fp < fp2 and comp <> comp2").select(F.col("fp").alias("u"), F.col("fp2").alias("v"))
+            one = still_open.select("lid", F.col("fp").alias("u"), F.col("comp").alias("cu")).join(sketch_u, "u")
+            other = still_open.select("lid", F.col("fp").alias("v"), F.col("comp").alias("cv")).join(sketch_v, "v")
+            near = (one["lid"] == other["lid"]) & F.expr("u < v and cu <> cv") & may_link("su", "nu", "sv", "nv")
+            found = one.join(other, near).select("u", "v")
         found = found.distinct()
         if tested is not None:
             found = found.join(tested, ["u", "v"], "left_anti")
         pairs = common.materialize(found, "pairs")
         if pairs.isEmpty():
             continue
-        got = common.materialize(_verify(pairs, sets), "links")
+        got = common.materialize(_verify(pairs, texts), "links")
+        common.release(spark)
         tested = pairs if tested is None else tested.unionByName(pairs)
         if not got.isEmpty():
             links = got if links is None else links.unionByName(got)

@@ -101,13 +101,18 @@ def encoder(path: str, space_free: bool = False) -> TextEncoder:
     return _ENCODERS[path, space_free]
 
 
-def in_slices(texts: list[str], most_chars: int = 6_000_000):
-    """(first, last) of runs of texts of about that many characters in all, for bounded memory."""
+def slices(sizes: list[int], most: int):
+    """(first, last) of runs whose sizes reach about that much, for bounded memory."""
     first, n = 0, 0
-    for i, t in enumerate(texts):
-        n += len(t)
-        if n >= most_chars:
+    for i, size in enumerate(sizes):
+        n += size
+        if n >= most:
             yield first, i + 1
             first, n = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
+def in_slices(texts: list[str], most_chars: int = 6_000_000):
+    """slices() of texts by their characters."""
+    return slices(list(map(len, texts)), most_chars)
