@@ -35,8 +35,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 2048 tokens."""
-    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), capacity=2048, end_id=0)
+    """Pieces of the documents in sequences of at most 2048 tokens. Workers still hold what earlier stages left, so the caches are smaller."""
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), capacity=2048, end_id=0, cache_size=100_000)
 
 
 STAGES = [("language ID", language), ("exact dedup", exact), ("near duplicates", near), ("decontamination", decontaminate), ("packing", pack)]

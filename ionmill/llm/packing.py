@@ -38,7 +38,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((first + k * capacity, capacity) for k in range(whole))]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, space_free: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, space_free: bool = False, cache_size: int = 300_000) -> DataFrame:
     """PIECES: every document's pieces, with their place among the pieces of that length in the same task."""
 
     def run(batches: Iterator) -> Iterator:
@@ -46,7 +46,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, sp
         from pyspark import TaskContext
 
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        enc, end = tokens.encoder(tokenizer, space_free), np.array([end_id], "<u4").tobytes()
+        enc, end = tokens.encoder(tokenizer, space_free, cache_size), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in tokens.in_slices(texts):
@@ -110,10 +110,10 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
     return np.array(moves, np.int64).reshape(-1, 5), opened
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, space_free: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, space_free: bool = False, cache_size: int = 300_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    pieces = common.materialize(token_pieces(docs, tokenizer, capacity, end_id, space_free), "pieces")
+    pieces = common.materialize(token_pieces(docs, tokenizer, capacity, end_id, space_free, cache_size), "pieces")
     per_task = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most

@@ -93,12 +93,13 @@ class TextEncoder:
 _ENCODERS: dict[tuple, TextEncoder] = {}
 
 
-def encoder(path: str, space_free: bool = False) -> TextEncoder:
+def encoder(path: str, space_free: bool = False, cache_size: int = 300_000) -> TextEncoder:
     """The encoder of this Python worker; workers are reused, and so are the caches."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if (path, space_free) not in _ENCODERS:
-        _ENCODERS[path, space_free] = TextEncoder(path, space_free)
-    return _ENCODERS[path, space_free]
+    key = (path, space_free, cache_size)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = TextEncoder(path, space_free, cache_size)
+    return _ENCODERS[key]
 
 
 def slices(sizes: list[int], most: int):
