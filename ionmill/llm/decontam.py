@@ -1,12 +1,13 @@
 """Operator 9: benchmark decontamination by template windows.
 
-Text becomes a sequence of canonical words: numbers, units after a number, and names (capitalised words inside a sentence) turn into
-typed placeholders, other words are lower-cased. Every run of ``window`` canonical words is a template window. The windows of all
-benchmark items form a hash table that each task joins its documents' windows with; items with fewer words than a window
-are one window of their own length. Matches of a document and an item are aligned (document position minus item position); an alignment counts when it covers at least
-``coverage`` of the item's windows, ``least_plain`` of the item's words are no placeholders, and its slots are consistent: each
-value in the benchmark stands for one value in the document and the other way round, per type. So a question with other numbers and
-names is found, and chance matches of placeholders are not. All slots equal: kind ``verbatim``; else ``template``.
+Text becomes a sequence of words, lower-cased, and of canonical words: numbers, units after a number, and names (capitalised words inside a sentence) turn into
+typed placeholders. Every run of ``window`` words is a window; items with fewer words are one window of their own length. The windows of all
+benchmark items, literal ones and template ones, form two hash tables that each task joins its documents' windows with. Matches of a document and an item are
+aligned (document position minus item position); an alignment counts when it covers at least ``coverage`` of the item's windows.
+
+Literal windows: kind ``verbatim``, whatever the item's words are. Template windows: kind ``template``, when ``least_plain`` of the item's words are no
+placeholders and the slots are consistent: each value in the benchmark stands for one value in the document and the other way round, per type. So a
+question with other numbers and names is found, and chance matches of placeholders are not.
 
 The benchmark is the stated query set. It goes to the tasks in blocks of ``block_windows`` windows at most (or one item), each met by all
 documents, so no more than a block is ever broadcast. Documents are not shuffled.
@@ -75,33 +76,26 @@ class Canonical:
         return int(self.kinds[k]), self.words.data[self.words.starts[k]:self.words.ends[k]].lower()
 
 
-class Block:
-    """Windows of some benchmark items, sorted by hash."""
+class Index:
+    """Windows of items, sorted by hash."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int):
-        self.ids = [i for i, _ in items]
-        c = Canonical([t for _, t in items])
-        first = c.words.first
-        self.sizes = np.diff(first)
-        self.slots = [{k - a: c.slot(k) for k in range(a, b) if c.kinds[k]} for a, b in zip(first[:-1], first[1:], strict=True)]
-        self.lengths = np.minimum(self.sizes, window)
-        hashes, owner, place = [], [], []
-        for k, (a, size, length) in enumerate(zip(first[:-1], self.sizes, self.lengths, strict=True)):
-            got = window_hashes(c.codes[a:a + size], int(length)) if size else np.zeros(0, np.uint64)
-            hashes.append(mix(got ^ np.uint64(length)))
-            owner.append(np.full(len(got), k))
-            place.append(np.arange(len(got)))
-        order = np.argsort(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), kind="stable")
-        self.hashes = np.concatenate(hashes)[order] if hashes else np.zeros(0, np.uint64)
-        self.owner = np.concatenate(owner)[order] if hashes else np.zeros(0, np.int64)
-        self.place = np.concatenate(place)[order] if hashes else np.zeros(0, np.int64)
-
-    def all_hits(self, c: Canonical) -> dict[int, dict[int, list[tuple[int, int]]]]:
+    def __init__(self, codes: list[np.ndarray], window: int):
+        self.lengths = np.array([min(len(x), window) for x in codes], np.int64)
+        hashes, owner, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k, x in enumerate(codes):
+            if len(x):
+                hashes.append(mix(window_hashes(x, int(self.lengths[k])) ^ np.uint64(self.lengths[k])))
+                owner.append(np.full(len(hashes[-1]), k))
+                place.append(np.arange(len(hashes[-1])))
+        flat = np.concatenate(hashes)
+        order = np.argsort(flat, kind="stable")
+        self.hashes, self.owner, self.place = flat[order], np.concatenate(owner)[order], np.concatenate(place)[order]
+
+    def hits(self, codes: np.ndarray, first: np.ndarray) -> dict[int, dict[int, list[tuple[int, int]]]]:
         """(position in the text, position in the item) of equal windows, by text and item."""
         out: dict = defaultdict(lambda: defaultdict(list))
-        first = c.words.first
         for length in np.unique(self.lengths[self.lengths > 0]):
-            got = mix(window_hashes(c.codes, int(length)) ^ np.uint64(length))
+            got = mix(window_hashes(codes, int(length)) ^ np.uint64(length))
             low = np.searchsorted(self.hashes, got)
             found = np.flatnonzero((low < len(self.hashes)) & (self.hashes[np.minimum(low, len(self.hashes) - 1)] == got))
             text = np.searchsorted(first, found, "right") - 1
@@ -115,59 +109,90 @@ class Block:
         return out
 
 
-def judge(block: Block, item: int, pairs: list[tuple[int, int]], c: Canonical, base: int, coverage: float, least_plain: float, drift: int = 4) -> tuple | None:
-    """(kind, covered, position, slots) of the best alignment that counts. drift: words by which neighbours may shift within one alignment."""
-    size, slots = int(block.sizes[item]), block.slots[item]
-    windows = size - int(block.lengths[item]) + 1
-    if size - len(slots) < least_plain * size:
-        return None
-    best = None
+class Block:
+    """Some benchmark items: windows of their literal words, and template windows of items with ``least_plain`` plain words."""
+
+    def __init__(self, items: list[tuple[int, str]], window: int, least_plain: float):
+        self.ids = [i for i, _ in items]
+        c = Canonical([t for _, t in items])
+        spans = list(zip(c.words.first[:-1], c.words.first[1:], strict=True))
+        self.sizes = np.diff(c.words.first)
+        self.slots = [{int(k - a): c.slot(k) for k in range(a, b) if c.kinds[k]} for a, b in spans]
+        self.literal = Index([c.words.hashes[a:b] for a, b in spans], window)
+        varied = [bool(x) and size - len(x) >= least_plain * size for x, size in zip(self.slots, self.sizes, strict=True)]
+        self.template = Index([c.codes[a:b] if v else c.codes[:0] for (a, b), v in zip(spans, varied, strict=True)], window)
+
+
+def runs(pairs: list[tuple[int, int]], drift: int = 4) -> list[list[tuple[int, int]]]:
+    """Pairs by alignment. drift: words by which neighbours may shift within one."""
     pairs = sorted(pairs, key=lambda p: (p[0] - p[1], p[0]))
-    runs, run = [], [pairs[0]]
+    out = [[pairs[0]]]
     for p in pairs[1:]:
-        if (p[0] - p[1]) - (run[-1][0] - run[-1][1]) > drift:
-            runs.append(run)
-            run = []
-        run.append(p)
-    for run in [*runs, run]:
-        covered = len({q for _, q in run}) / windows
+        if (p[0] - p[1]) - (out[-1][-1][0] - out[-1][-1][1]) > drift:
+            out.append([])
+        out[-1].append(p)
+    return out
+
+
+def copied(block: Block, item: int, pairs: list[tuple[int, int]], coverage: float) -> tuple | None:
+    """("verbatim", covered, position, slots) of the best alignment of literal windows."""
+    length, best = int(block.literal.lengths[item]), None
+    for run in runs(pairs):
+        places = {q for _, q in run}
+        covered = len(places) / (int(block.sizes[item]) - length + 1)
+        if covered >= coverage and (best is None or covered > best[1]):
+            best = ("verbatim", covered, min(d for d, _ in run), len({v for k, v in block.slots[item].items() if any(k - x in places for x in range(length))}))
+    return best
+
+
+def judge(block: Block, item: int, pairs: list[tuple[int, int]], c: Canonical, base: int, coverage: float) -> tuple | None:
+    """("template", covered, position, slots) of the best alignment that counts."""
+    length, slots = int(block.template.lengths[item]), block.slots[item]
+    best = None
+    for run in runs(pairs):
+        covered = len({q for _, q in run}) / (int(block.sizes[item]) - length + 1)
         if covered < coverage:
             continue
         there: dict = {}
         back: dict = {}
-        sound, same = True, True
+        sound = True
         for d, q in run:
-            for k in range(int(block.lengths[item])):
+            for k in range(length):
                 if q + k in slots:
                     a, b = slots[q + k], c.slot(base + d + k)
-                    same &= a == b
                     sound &= there.setdefault(a, b) == b and back.setdefault(b, a) == a
         if sound and (best is None or covered > best[1]):
-            best = ("verbatim" if same else "template", covered, min(d for d, _ in run), len(there))
+            best = ("template", covered, min(d for d, _ in run), len(there))
     return best
 
 
-def blocks(benchmark: DataFrame, window: int, block_windows: int) -> Iterator[Block]:
+def blocks(benchmark: DataFrame, window: int, least_plain: float, block_windows: int) -> Iterator[Block]:
     held: list[tuple[int, str]] = []
     n = 0
     for r in benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():
         held.append((r.item_id, r.text))
         n += r.text.count(" ") + 1
         if n >= block_windows:
-            yield Block(held, window)
+            yield Block(held, window, least_plain)
             held, n = [], 0
     if held:
-        yield Block(held, window)
+        yield Block(held, window, least_plain)
 
 
-def _judged(texts: list[str], block: Block, coverage: float, least_plain: float) -> dict[int, list[tuple]]:
+def _judged(texts: list[str], block: Block, coverage: float) -> dict[int, list[tuple]]:
     """(item_id, kind, covered, position, slots) by text."""
     out: dict[int, list[tuple]] = {}
     for a, b in tokens.in_slices(texts, 1_000_000):
         c = Canonical(texts[a:b])
-        for t, items in block.all_hits(c).items():
-            for item, pairs in sorted(items.items()):
-                if got := judge(block, item, pairs, c, int(c.words.first[t]), coverage, least_plain):
+        first = c.words.first
+        same, alike = block.literal.hits(c.words.hashes, first), block.template.hits(c.codes, first)
+        for t in sorted({*same, *alike}):
+            mine, other = same.get(t, {}), alike.get(t, {})
+            for item in sorted({*mine, *other}):
+                got = copied(block, item, mine[item], coverage) if item in mine else None
+                if got is None and item in other:
+                    got = judge(block, item, other[item], c, int(first[t]), coverage)
+                if got:
                     out.setdefault(a + t, []).append((block.ids[item], *got))
     return out
 
@@ -176,7 +201,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage: fl
     """MATCH rows of all documents and items."""
     spark, out = docs.sparkSession, None
     narrow = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    for block in blocks(benchmark, window, block_windows):
+    for block in blocks(benchmark, window, least_plain, block_windows):
         held = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator, held=held) -> Iterator:
@@ -184,7 +209,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage: fl
 
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-                rows = [(ids[t], *m) for t, ms in _judged(texts, held.value, coverage, least_plain).items() for m in ms]
+                rows = [(ids[t], *m) for t, ms in _judged(texts, held.value, coverage).items() for m in ms]
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64())
                 cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in MATCH.split(", ")])
@@ -198,7 +223,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage: floa
     """The rows of ``docs``, all columns, that match no item."""
     names, out = docs.columns, docs
     at = names.index("text")
-    for block in blocks(benchmark, window, block_windows):
+    for block in blocks(benchmark, window, least_plain, block_windows):
         held = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator, held=held) -> Iterator:
@@ -206,7 +231,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage: floa
 
             for batch in batches:
                 texts = [t or "" for t in batch.column(at).to_pylist()]
-                bad = _judged(texts, held.value, coverage, least_plain)
+                bad = _judged(texts, held.value, coverage)
                 yield batch.filter(pa.array([k not in bad for k in range(len(texts))], pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)

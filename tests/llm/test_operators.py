@@ -306,6 +306,17 @@ def test_decontamination(spark, docs, empty):
     assert decontam.matches(d, b.limit(0)).count() == 0 and decontam.matches(empty, b).count() == 0 and decontam.clean(docs, b).columns == docs.columns
 
 
+def leaks(bench, texts):
+    block = decontam.Block(list(enumerate(bench)), 8, 0.5)
+    return {(t, m[0]): m[1] for t, ms in decontam._judged(texts, block, 0.75).items() for m in ms}
+
+
+def test_leaks_of_placeholders():
+    bench = ["Compute 12 + 7 - 3 * 4 / 2", "Who Wrote The Lord Of The Rings", "1 2 3 4 5 6 7 8 9 10 11 12"]
+    assert leaks(bench, [f"some words here. {x} and more of them" for x in bench]) == {(k, k): "verbatim" for k in range(3)}
+    assert leaks(bench, ["Compute 13 + 8 - 4 * 5 / 3", "Who Sang The Song Of The Seas", "12 11 10 9 8 7 6 5 4 3 2 1"]) == {}
+
+
 def test_packing(docs, empty):
     got = packing.pack(docs, P.path("byte_bpe_50k.json"), capacity=128).collect()
     lib, seqs, pieces = tokens.TextEncoder(P.path("byte_bpe_50k.json")), defaultdict(list), defaultdict(list)
