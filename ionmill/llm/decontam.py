@@ -1,9 +1,10 @@
 """Operator 9: benchmark decontamination by template windows.
 
-Text becomes a sequence of words, lower-cased, and of canonical words: numbers, units after a number, and names (capitalised words inside a sentence) turn into
-typed placeholders. Every run of ``window`` words is a window; items with fewer words are one window of their own length. The windows of all
+Text becomes a sequence of words, lower-cased, and of canonical words: numbers (whole, with commas and points), units after a number, and names turn into
+typed placeholders. Any capitalised word may be a name; one that opens a sentence counts as a plain word where it is unchanged, and as a differing word
+where it would contradict the names inside sentences. Every run of ``window`` words is a window; items with fewer words are one window of their own length. The windows of all
 benchmark items, literal ones and template ones, form two hash tables that each task joins its documents' windows with. Matches of a document and an item are
-aligned (document position minus item position); an alignment counts when it covers at least ``coverage`` of the item's windows.
+aligned (document position minus item position); an alignment counts when its windows cover at least ``coverage`` of the item's words.
 
 Literal windows: kind ``verbatim``, whatever the item's words are. Template windows: kind ``template``, when ``least_plain`` of the item's words are no
 placeholders and the slots are consistent: each value in the benchmark stands for one value in the document and the other way round, per type. So a
@@ -30,6 +31,7 @@ from .wordhash import Words, byte_table, mix, window_hashes
 
 _WORD = byte_table(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256)))
 _DIGIT = byte_table(b"0123456789")
+_SEPARATOR = byte_table(b".,")
 _STOP = byte_table(b".!?\n\r:;|")
 #: Units that turn into a placeholder after a number.
 UNITS = "mm cm m km mg g kg t ml l s sec min h hr hrs minutes seconds hours days weeks months years mph kmh w kw kwh v a hz khz mhz ghz kb mb gb tb usd eur gbp dollars euros pounds cents percent inches feet miles yards ounces gallons litres liters metres meters degrees"
@@ -50,10 +52,10 @@ _UNIT_HASHES = np.sort(Words([UNITS], _WORD, _fold).hashes)
 
 
 class Canonical:
-    """Canonical words of a batch: codes per word, 0 in ``kinds`` for plain words, else 1 number, 2 name, 3 unit."""
+    """Canonical words of a batch: codes per word, 0 in ``kinds`` for plain words, else 1 number, 2 name, 3 unit, 4 possible name (capitalised, opens a sentence)."""
 
     def __init__(self, texts: list[str]):
-        self.words = w = Words(texts, _WORD, _fold)
+        self.words = w = Words(texts, _WORD, _fold, (_DIGIT, _SEPARATOR))
         n = len(w.starts)
         self.kinds = kinds = np.zeros(n, np.uint8)
         if n:
@@ -63,17 +65,18 @@ class Canonical:
             opens = np.ones(n, bool)
             opens[1:] = stops[w.starts[1:]] > stops[w.ends[:-1]]
             opens[w.first[:-1][w.first[:-1] < n]] = True
-            kinds[upper & ~opens] = 2
+            kinds[upper] = np.where(opens, 4, 2)[upper]
             kinds[_DIGIT[lead]] = 1
             unit = np.zeros(n, bool)
             unit[1:] = (kinds[:-1] == 1) & ~opens[1:]
             at = np.searchsorted(_UNIT_HASHES, w.hashes)
             unit &= (at < len(_UNIT_HASHES)) & (_UNIT_HASHES[np.minimum(at, len(_UNIT_HASHES) - 1)] == w.hashes)
             kinds[unit] = 3
-        self.codes = np.where(kinds == 0, w.hashes, np.array([0, NUMBER, NAME, UNIT], np.uint64)[kinds])
+        self.codes = np.where(kinds == 0, w.hashes, np.array([0, NUMBER, NAME, UNIT, NAME], np.uint64)[kinds])
 
     def slot(self, k: int) -> tuple[int, bytes]:
-        return int(self.kinds[k]), self.words.data[self.words.starts[k]:self.words.ends[k]].lower()
+        kind = int(self.kinds[k])
+        return 2 if kind == 4 else kind, self.words.data[self.words.starts[k]:self.words.ends[k]].lower()
 
 
 class Index:
@@ -118,8 +121,10 @@ class Block:
         spans = list(zip(c.words.first[:-1], c.words.first[1:], strict=True))
         self.sizes = np.diff(c.words.first)
         self.slots = [{int(k - a): c.slot(k) for k in range(a, b) if c.kinds[k]} for a, b in spans]
+        self.opens = [{int(k - a) for k in range(a, b) if c.kinds[k] == 4} for a, b in spans]
+        self.least_plain = least_plain
         self.literal = Index([c.words.hashes[a:b] for a, b in spans], window)
-        varied = [bool(x) and size - len(x) >= least_plain * size for x, size in zip(self.slots, self.sizes, strict=True)]
+        varied = [bool(x) and size - len(x) + len(y) >= least_plain * size for x, y, size in zip(self.slots, self.opens, self.sizes, strict=True)]
         self.template = Index([c.codes[a:b] if v else c.codes[:0] for (a, b), v in zip(spans, varied, strict=True)], window)
 
 
@@ -139,33 +144,63 @@ def copied(block: Block, item: int, pairs: list[tuple[int, int]], coverage: floa
     length, best = int(block.literal.lengths[item]), None
     for run in runs(pairs):
         places = {q for _, q in run}
-        covered = len(places) / (int(block.sizes[item]) - length + 1)
+        covered = len({q + k for q in places for k in range(length)}) / int(block.sizes[item])
         if covered >= coverage and (best is None or covered > best[1]):
-            best = ("verbatim", covered, min(d for d, _ in run), len({v for k, v in block.slots[item].items() if any(k - x in places for x in range(length))}))
+            best = ("verbatim", covered, min(d for d, _ in run), len({v for k, v in block.slots[item].items() if k not in block.opens[item] and any(k - x in places for x in range(length))}))
     return best
 
 
 def judge(block: Block, item: int, pairs: list[tuple[int, int]], c: Canonical, base: int, coverage: float) -> tuple | None:
     """("template", covered, position, slots) of the best alignment that counts."""
-    length, slots = int(block.template.lengths[item]), block.slots[item]
+    length, size, slots, opens = int(block.template.lengths[item]), int(block.sizes[item]), block.slots[item], block.opens[item]
     best = None
     for run in runs(pairs):
-        covered = len({q for _, q in run}) / (int(block.sizes[item]) - length + 1)
-        if covered < coverage:
+        if len({q + k for _, q in run for k in range(length)}) < coverage * size:
             continue
-        there: dict = {}
-        back: dict = {}
-        sound = True
+        shifts: dict[int, set[int]] = defaultdict(set)
         for d, q in run:
-            for k in range(length):
-                if q + k in slots:
-                    a, b = slots[q + k], c.slot(base + d + k)
-                    sound &= there.setdefault(a, b) == b and back.setdefault(b, a) == a
-        if sound and (best is None or covered > best[1]):
-            best = ("template", covered, min(d for d, _ in run), len(there))
+            shifts[d - q].update(range(q, q + length))
+        for main in sorted(shifts, key=lambda x: (-len(shifts[x]), x)):
+            got = _filled(shifts, main, slots, opens, c, base)
+            if got is None:
+                continue
+            words, changed, values = got
+            if len(words) >= coverage * size and size - len(slots) + len(opens) - changed >= block.least_plain * size:
+                if best is None or len(words) / size > best[1]:
+                    best = ("template", len(words) / size, min(d for d, _ in run), values)
+                break
     return best
 
 
+def _filled(shifts: dict[int, set[int]], main: int, slots: dict, opens: set[int], c: Canonical, base: int) -> tuple[set[int], int, int] | None:
+    """(item words, changed openings, slot values) of an alignment grown from one shift; None when the slots of ``main`` are not consistent.
+
+    A shift next to it adds the words that are still open, unless its slots contradict. A word that opens a sentence may be no name: where it
+    contradicts, it is a differing word.
+    """
+    there: dict = {}
+    back: dict = {}
+    words: dict[int, int] = {}
+    for shift in sorted(shifts, key=lambda x: (abs(x - main), x)):
+        new = sorted(shifts[shift] - words.keys())
+        a, b = dict(there), dict(back)
+        if all(a.setdefault(x := slots[q], y := c.slot(base + q + shift)) == y and b.setdefault(y, x) == x for q in new if q in slots and q not in opens):
+            there, back = a, b
+            words |= dict.fromkeys(new, shift)
+        elif shift == main:
+            return None
+    values, changed = set(there), 0
+    for q in sorted(opens & words.keys()):
+        x, y = slots[q], c.slot(base + q + words[q])
+        if there.get(x, y) != y or back.get(y, x) != x:
+            del words[q]
+        elif x != y:
+            there[x], back[y] = y, x
+            values.add(x)
+            changed += 1
+    return set(words), changed, len(values)
+
+
 def blocks(benchmark: DataFrame, window: int, least_plain: float, block_windows: int) -> Iterator[Block]:
     held: list[tuple[int, str]] = []
     n = 0

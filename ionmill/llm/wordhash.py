@@ -38,15 +38,18 @@ def byte_table(chars: bytes) -> np.ndarray:
 class Words:
     """Words of texts. hashes, starts and ends (bytes in ``raw``) are per word; first[k]:first[k + 1] are the words of text k.
 
-    is_word: which bytes make words (a line feed must not). lower: bytes folded before hashing.
+    is_word: which bytes make words (a line feed must not). lower: bytes folded before hashing. joined: (digits, separators that make words between two digits).
     """
 
-    def __init__(self, texts: list[str], is_word: np.ndarray, fold):
+    def __init__(self, texts: list[str], is_word: np.ndarray, fold, joined: tuple[np.ndarray, np.ndarray] | None = None):
         parts = [t.encode("utf-8", "replace") for t in texts]
         self.data = b"\n".join(parts) + b"\n"
         self.raw = np.frombuffer(self.data, np.uint8)
         bounds = np.cumsum([0, *(len(p) + 1 for p in parts)])
         inside = is_word[self.raw]
+        if joined:
+            digit = joined[0][self.raw]
+            inside[1:-1] |= joined[1][self.raw[1:-1]] & digit[:-2] & digit[2:]
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         if len(self.raw) and inside[0]:
             edge = np.concatenate([[0], edge])

@@ -317,6 +317,13 @@ def test_leaks_of_placeholders():
     assert leaks(bench, ["Compute 13 + 8 - 4 * 5 / 3", "Who Sang The Song Of The Seas", "12 11 10 9 8 7 6 5 4 3 2 1"]) == {}
 
 
+def test_leaks_with_other_names_and_numbers():
+    item = "Tom has 3 apples. Mary has 5 more apples than Tom. How many apples do they have together?"
+    again = [item.replace("Tom", "Ben").replace("Mary", "Lisa"), item.replace("5", "1,000"), item.replace("Tom", "Ben").replace("5", "2.5"), item.replace("together", "now")]
+    assert leaks([item], [f"So it goes. {x} Yes." for x in again]) == {(0, 0): "template", (1, 0): "template", (2, 0): "template", (3, 0): "verbatim"}
+    assert leaks(["Who is Tom"], ["Alice is Bob"]) == {}
+
+
 def test_packing(docs, empty):
     got = packing.pack(docs, P.path("byte_bpe_50k.json"), capacity=128).collect()
     lib, seqs, pieces = tokens.TextEncoder(P.path("byte_bpe_50k.json")), defaultdict(list), defaultdict(list)
