@@ -1,6 +1,6 @@
 """Operator 9: benchmark decontamination by template windows.
 
-Text becomes a sequence of words, lower-cased, and of canonical words: numbers (whole, with commas and points), units after a number, and names turn into
+Text becomes a sequence of words, case-folded (in scripts without spaces each character is one), and of canonical words: numbers (whole, with commas and points), units after a number, and names turn into
 typed placeholders. Any capitalised word may be a name; one that opens a sentence counts as a plain word where it is unchanged, and as a differing word
 where it would contradict the names inside sentences. Every run of ``window`` words is a window; items with fewer words are one window of their own length. The windows of all
 benchmark items, literal ones and template ones, form two hash tables that each task joins its documents' windows with. Matches of a document and an item are
@@ -19,6 +19,8 @@ are equal match alike. Repeated rows match alike. An empty table gives no rows.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -27,46 +29,87 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .wordhash import Words, byte_table, mix, window_hashes
+from .wordhash import Words, mix, window_hashes
+
+_SEPARATOR, _STOP = ".,", ".!?\n\r:;|。！？；：．｡؟۔।॥…"
+#: Scripts without spaces: each of their characters is a word.
+_SPACELESS = [(0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x30FF), (0x3105, 0x312F), (0x31A0, 0x31FF), (0x3400, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x16FE0, 0x18DFF), (0x1AFF0, 0x1B2FF), (0x20000, 0x3347F)]
+_END = 0x33480  # no letters from here
+_IS_WORD, _IS_DIGIT, _IS_UPPER, _IS_ALONE, _IS_SEPARATOR, _IS_STOP = (np.uint8(1 << k) for k in range(6))
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Classes, and hash values of the case-folded character, by code point; the last entry is for all above."""
+    classes, folded = np.zeros(_END + 1, np.uint8), np.arange(_END + 1, dtype=np.uint64)
+    for k in range(_END):
+        kind = unicodedata.category(x := chr(k))
+        if kind[0] in "LMN":
+            classes[k] = _IS_WORD | (_IS_DIGIT if kind == "Nd" else 0) | (_IS_UPPER if kind in ("Lu", "Lt") else 0)
+            if len(low := x.casefold()) == 1:
+                folded[k] = ord(low)
+    for low, high in _SPACELESS:
+        classes[low:high + 1] |= np.where(classes[low:high + 1] & (_IS_WORD | _IS_DIGIT) == _IS_WORD, _IS_ALONE, np.uint8(0))
+    for chars, bit in ((_SEPARATOR, _IS_SEPARATOR), (_STOP, _IS_STOP)):
+        classes[[ord(x) for x in chars]] |= bit
+    return classes, mix(folded + np.uint64(1))
+
+
+_CLASSES, _VALUES = _tables()
+#: Characters that become several when their case is folded, like the sharp s.
+_WIDE = re.compile("[" + "".join(chr(k) for k in range(128, _END) if len(chr(k).casefold()) > 1) + "]")
+
+
+def _narrow(text: str) -> str:
+    if text.isascii():
+        return text
+    return _WIDE.sub(lambda m: m[0].casefold().capitalize() if m[0].isupper() else m[0].casefold(), text)
+
+
+class Runes(Words):
+    """Words by code point: letters, marks and digits; commas and points between digits belong to the number."""
+
+    def __init__(self, texts: list[str]):
+        texts = [_narrow(t) for t in texts]
+        self.data = "\n".join([*texts, ""])
+        self.raw = np.minimum(np.frombuffer(self.data.encode("utf-32-le", "replace"), "<u4"), _END)
+        self.classes = _CLASSES[self.raw]
+        bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        inside, digit, alone = ((self.classes & x) > 0 for x in (_IS_WORD, _IS_DIGIT, _IS_ALONE))
+        inside[1:-1] |= ((self.classes[1:-1] & _IS_SEPARATOR) > 0) & digit[:-2] & digit[2:]
+        apart = ~inside | alone
+        begins, ends = inside.copy(), inside.copy()
+        begins[1:] &= apart[:-1] | alone[1:]
+        ends[:-1] &= apart[1:] | alone[:-1]
+        self.starts, self.ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        self.first = np.searchsorted(self.starts, bounds)
+        self.hashes = self._hash(self.raw, _VALUES)
+
 
-_WORD = byte_table(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256)))
-_DIGIT = byte_table(b"0123456789")
-_SEPARATOR = byte_table(b".,")
-_STOP = byte_table(b".!?\n\r:;|")
 #: Units that turn into a placeholder after a number.
 UNITS = "mm cm m km mg g kg t ml l s sec min h hr hrs minutes seconds hours days weeks months years mph kmh w kw kwh v a hz khz mhz ghz kb mb gb tb usd eur gbp dollars euros pounds cents percent inches feet miles yards ounces gallons litres liters metres meters degrees"
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (0x1111111111111111, 0x2222222222222222, 0x3333333333333333))
 MATCH = "doc_id long, item_id long, kind string, covered double, position long, slots long"
 
 
-def _fold(raw: np.ndarray) -> np.ndarray:
-    """Lower case of ASCII and of two-byte Latin letters."""
-    out = raw.copy()
-    out[(raw >= 65) & (raw <= 90)] += 32
-    after = np.concatenate([[False], raw[:-1] == 0xC3])
-    out[after & (raw >= 0x80) & (raw <= 0x9E) & (raw != 0x97)] += 32
-    return out
-
-
-_UNIT_HASHES = np.sort(Words([UNITS], _WORD, _fold).hashes)
+_UNIT_HASHES = np.sort(Runes([UNITS]).hashes)
 
 
 class Canonical:
     """Canonical words of a batch: codes per word, 0 in ``kinds`` for plain words, else 1 number, 2 name, 3 unit, 4 possible name (capitalised, opens a sentence)."""
 
     def __init__(self, texts: list[str]):
-        self.words = w = Words(texts, _WORD, _fold, (_DIGIT, _SEPARATOR))
+        self.words = w = Runes(texts)
         n = len(w.starts)
         self.kinds = kinds = np.zeros(n, np.uint8)
         if n:
-            lead, after = w.raw[w.starts], w.raw[w.starts + 1]
-            upper = ((lead >= 65) & (lead <= 90)) | ((lead == 0xC3) & (after >= 0x80) & (after <= 0x9E))
-            stops = np.concatenate([[0], np.cumsum(_STOP[w.raw], dtype=np.int64)])
+            lead = w.classes[w.starts]
+            upper = (lead & _IS_UPPER) > 0
+            stops = np.concatenate([[0], np.cumsum(w.classes & _IS_STOP > 0, dtype=np.int64)])
             opens = np.ones(n, bool)
             opens[1:] = stops[w.starts[1:]] > stops[w.ends[:-1]]
             opens[w.first[:-1][w.first[:-1] < n]] = True
             kinds[upper] = np.where(opens, 4, 2)[upper]
-            kinds[_DIGIT[lead]] = 1
+            kinds[(lead & _IS_DIGIT) > 0] = 1
             unit = np.zeros(n, bool)
             unit[1:] = (kinds[:-1] == 1) & ~opens[1:]
             at = np.searchsorted(_UNIT_HASHES, w.hashes)
@@ -74,9 +117,9 @@ class Canonical:
             kinds[unit] = 3
         self.codes = np.where(kinds == 0, w.hashes, np.array([0, NUMBER, NAME, UNIT, NAME], np.uint64)[kinds])
 
-    def slot(self, k: int) -> tuple[int, bytes]:
+    def slot(self, k: int) -> tuple[int, str]:
         kind = int(self.kinds[k])
-        return 2 if kind == 4 else kind, self.words.data[self.words.starts[k]:self.words.ends[k]].lower()
+        return 2 if kind == 4 else kind, self.words.data[self.words.starts[k]:self.words.ends[k]].casefold()
 
 
 class Index:
@@ -206,7 +249,7 @@ def blocks(benchmark: DataFrame, window: int, least_plain: float, block_windows:
     n = 0
     for r in benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():
         held.append((r.item_id, r.text))
-        n += r.text.count(" ") + 1
+        n += r.text.count(" ") + 1 if r.text.isascii() else len(Runes([r.text]).starts)
         if n >= block_windows:
             yield Block(held, window, least_plain)
             held, n = [], 0

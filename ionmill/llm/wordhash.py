@@ -38,18 +38,15 @@ def byte_table(chars: bytes) -> np.ndarray:
 class Words:
     """Words of texts. hashes, starts and ends (bytes in ``raw``) are per word; first[k]:first[k + 1] are the words of text k.
 
-    is_word: which bytes make words (a line feed must not). lower: bytes folded before hashing. joined: (digits, separators that make words between two digits).
+    is_word: which bytes make words (a line feed must not). lower: bytes folded before hashing.
     """
 
-    def __init__(self, texts: list[str], is_word: np.ndarray, fold, joined: tuple[np.ndarray, np.ndarray] | None = None):
+    def __init__(self, texts: list[str], is_word: np.ndarray, fold):
         parts = [t.encode("utf-8", "replace") for t in texts]
         self.data = b"\n".join(parts) + b"\n"
         self.raw = np.frombuffer(self.data, np.uint8)
         bounds = np.cumsum([0, *(len(p) + 1 for p in parts)])
         inside = is_word[self.raw]
-        if joined:
-            digit = joined[0][self.raw]
-            inside[1:-1] |= joined[1][self.raw[1:-1]] & digit[:-2] & digit[2:]
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         if len(self.raw) and inside[0]:
             edge = np.concatenate([[0], edge])
@@ -57,7 +54,7 @@ class Words:
         self.first = np.searchsorted(self.starts, bounds)
         self.hashes = self._hash(fold(self.raw))
 
-    def _hash(self, raw: np.ndarray) -> np.ndarray:
+    def _hash(self, raw: np.ndarray, values: np.ndarray = _VALUES) -> np.ndarray:
         out = np.empty(len(self.starts), np.uint64)
         k = 0
         while k < len(self.starts):
@@ -66,7 +63,7 @@ class Words:
             stop = int(self.ends[last - 1])
             power, inverse = _powers(stop - begin)
             total = np.zeros(stop - begin + 1, np.uint64)
-            np.cumsum(_VALUES[raw[begin:stop]] * power[:stop - begin], out=total[1:])
+            np.cumsum(values[raw[begin:stop]] * power[:stop - begin], out=total[1:])
             a, b = self.starts[k:last] - begin, self.ends[k:last] - begin
             out[k:last] = mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
             k = last

@@ -324,6 +324,15 @@ def test_leaks_with_other_names_and_numbers():
     assert leaks(["Who is Tom"], ["Alice is Bob"]) == {}
 
 
+def test_leaks_in_any_context_case_and_script():
+    bench = ["What is the capital of France?", "Welche Straße führt nach Köln am Rhein", "法国的首都是哪一座城市？", "Какой город является столицей Франции?", "Which river does the Tower Bridge of London cross"]
+    there = ['He asked, "{}" and left', "so ({}) it is", "我们问：「{}」然后走了", "「{}", "他说过{}对吧"]
+    for k, x in enumerate(bench):
+        for form in (x, x.lower(), x.upper()):
+            assert leaks(bench, [t.format(form) for t in there]) == {(j, k): "verbatim" for j in range(5)}, form
+    assert leaks(bench, ["德国的大城市有哪些座", "the capital of France is", "", "😀\ud800"]) == {}
+
+
 def test_packing(docs, empty):
     got = packing.pack(docs, P.path("byte_bpe_50k.json"), capacity=128).collect()
     lib, seqs, pieces = tokens.TextEncoder(P.path("byte_bpe_50k.json")), defaultdict(list), defaultdict(list)
