@@ -185,6 +185,18 @@ def test_language(spark, empty):
     assert langid.predict(df, none).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
+def test_language_of_long_texts():
+    r = random.Random(5)
+    stems = {"aa": ["bal", "tor", "min", "ke"], "bb": ["schu", "ung", "ver", "lich"]}
+    say = lambda lang, n: " ".join("".join(r.choice(stems[lang]) for _ in range(r.randint(1, 3))) for _ in range(n))
+    model = langid.Model({lang: say(lang, 1800).encode() for lang in stems})
+    clean = say("bb", 500_000)
+    assert len(clean) > 4_000_000
+    got = [model.predict(clean[:n]) for n in (100_000, 1_000_000, len(clean))]
+    assert all(lang == "bb" and not rejected for lang, _, rejected in got) and min(x[1] for x in got) > 0.5 * max(x[1] for x in got)
+    assert model.predict(f"{clean[:150_000]} {say('aa', 100_000)}")[0] == "aa"
+
+
 def shingles(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(A_Z))
     return frozenset(tuple(w[k:k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
