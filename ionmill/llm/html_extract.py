@@ -33,6 +33,7 @@ _TOKEN = re.compile(r"[A-Za-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style head title noscript template iframe svg math object canvas textarea".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SIBLING = {"li": ("li", ("ul", "ol")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
@@ -84,6 +85,8 @@ def parse(page: str) -> tuple[Node, list[Node], list[tuple[Node, str]]]:
     while True:
         m = search(page, at)
         stop = m.start() if m else len(page)
+        if stop > at and hidden == ["head"] and not page[at:stop].isspace():
+            hidden.clear()
         if stop > at and not hidden:
             piece = page[at:stop]
             piece = entities.unescape(piece) if "&" in piece else piece
@@ -110,16 +113,16 @@ def parse(page: str) -> tuple[Node, list[Node], list[tuple[Node, str]]]:
                         break
             continue
         attrs = m[3] or m[6] or ""
+        if hidden and (tag == "body" and "head" in hidden or hidden[-1] == "head" and tag not in HEAD):
+            hidden.clear()  # what cannot be in the head ends it
         if tag in UNSEEN or hidden:
-            if tag in RAW and not hidden:
+            if tag in RAW and not (attrs.endswith("/") and ("svg" in hidden or "math" in hidden)):
                 end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
                 held.append(" ")
             elif not attrs.endswith("/") and tag in UNSEEN:
                 hidden.append(tag)
             continue
-        if tag == "body" and hidden:
-            hidden.clear()
         if tag == "br":
             held.append(" ")
             continue

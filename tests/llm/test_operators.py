@@ -169,6 +169,15 @@ def test_html(spark):
     assert ((m.logits(np.random.default_rng(1).normal(size=(500, 3))) > 0) == (np.random.default_rng(1).normal(size=(500, 3))[:, 1] > 0)).mean() > 0.9
 
 
+def test_html_heads():
+    body = "<article><p>One two.</p><p>Three four.</p></article>"
+    code = "<script>for(i=0;i<n;i++){a='<p>'}</script>"
+    heads = [f"<head><title>t</title>{code}</head><body>", "<head><title>t</title><body>", f"<head><meta charset=x>{code}", "<head><template><p>x</p><body>", "<head><svg><title/><style>a<b</style></svg></head><body>", f"<body>{code}<svg><style>a<b</style><title/></svg>", "<head><title>t</title></head>"]
+    for head in heads:
+        assert [t for _, t in html_extract.parse(f"<html>{head}{body}</html>")[2]] == ["One two.", "Three four."], head
+    assert [t for _, t in html_extract.parse("<head><title>t</title> plain <b>text</b>")[2]] == ["plain text"]
+
+
 def test_language(spark, empty):
     r = random.Random(5)
     stems = {"aa": ["bal", "tor", "min", "ke"], "bb": ["schu", "ung", "ver", "lich"], "cc": ["ción", "ado", "que", "ñar"]}
