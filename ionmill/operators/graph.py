@@ -1,12 +1,15 @@
 """Fragmentation graph operators G2-G3, G10-G20, I3, X3 over fragment and transition tables keyed by mol_id.
 
-Growth is a bounded loop of frontier joins: at most ``depth`` rounds, each an equi join on (mol_id, node) with the filter applied before
-the next. A round's frontier is checkpointed, so its plan does not hold the rounds before, and the loop ends with an empty frontier.
+Growth is a loop of frontier joins, each an equi join on (mol_id, node) with the filter applied before the next. A round's frontier is
+checkpointed, so its plan does not hold the rounds before. A frontier holds only what is new, so the loop ends with an empty one, on cycles too;
+only ``likely_expansion`` and the walks take a number of rounds.
 Molecules are independent, so every join is co-partitioned by molecule and no round gathers more than its frontier.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,11 +42,11 @@ def mark_duplicates(edges: DataFrame, order: Column) -> DataFrame:
     return edges.withColumn("is_duplicate", F.row_number().over(Window.partitionBy("mol_id", "from_id", "to_id").orderBy(order)) > 1)
 
 
-def min_depth(transitions: DataFrame, root: int = 0, most: int = 8) -> DataFrame:
+def min_depth(transitions: DataFrame, root: int = 0) -> DataFrame:
     """G2's reachability: mol_id, frag_id, depth of every fragment reached from the root."""
     edges = cut(transitions.select("mol_id", "from_id", F.col("to_id").alias("frag_id")).distinct())
     seen = front = cut(edges.select("mol_id").distinct().select("mol_id", F.lit(root).cast("long").alias("frag_id"), F.lit(0).alias("depth")))
-    for d in range(1, most + 1):
+    for d in count(1):
         step = front.select("mol_id", F.col("frag_id").alias("from_id")).join(edges, EDGE).select("mol_id", "frag_id").distinct()
         front = cut(step.join(seen, ["mol_id", "frag_id"], "left_anti").withColumn("depth", F.lit(d)))
         if front.isEmpty():
@@ -78,18 +81,18 @@ def likely_expansion(transitions: DataFrame, threshold: float, most: int = 3, ro
     return seen.groupBy("mol_id", "frag_id").agg(F.max("logp").alias("logp"))
 
 
-def direct_paths(transitions: DataFrame, annotated: DataFrame, most: int = 8, root: int = 0) -> DataFrame:
+def direct_paths(transitions: DataFrame, annotated: DataFrame, root: int = 0) -> DataFrame:
     """Annotated fragments that the root reaches through annotated ones only."""
     own = transitions.join(annotated.select("mol_id", F.col("frag_id").alias("to_id")), ["mol_id", "to_id"], "left_semi")
-    return min_depth(own, root, most).select("mol_id", "frag_id")
+    return min_depth(own, root).select("mol_id", "frag_id")
 
 
-def needed(transitions: DataFrame, annotated: DataFrame, most: int = 8, root: int = 0) -> DataFrame:
+def needed(transitions: DataFrame, annotated: DataFrame, root: int = 0) -> DataFrame:
     """Fragments to keep: annotated ones, the root, and those that lead to an annotated one that has no direct path."""
-    direct = direct_paths(transitions, annotated, most, root)
+    direct = direct_paths(transitions, annotated, root)
     front = keep = cut(annotated.select("mol_id", "frag_id").join(direct, ["mol_id", "frag_id"], "left_anti").distinct())
     back = cut(transitions.select("mol_id", "from_id", F.col("to_id").alias("frag_id")).distinct())
-    for _ in range(most):
+    while True:
         front = cut(front.join(back, ["mol_id", "frag_id"]).select("mol_id", F.col("from_id").alias("frag_id")).distinct().join(keep, ["mol_id", "frag_id"], "left_anti"))
         if front.isEmpty():
             break
@@ -109,13 +112,14 @@ def sample_edges(transitions: DataFrame, most: int, seed: int = 0) -> DataFrame:
     return transitions.withColumn("place", F.row_number().over(Window.partitionBy("mol_id").orderBy(draw, "from_id", "to_id"))).where(F.col("place") <= most).drop("place")
 
 
-def paths_to(transitions: DataFrame, targets: DataFrame, most: int = 6, root: int = 0) -> DataFrame:
+def paths_to(transitions: DataFrame, targets: DataFrame, root: int = 0) -> DataFrame:
     """Edges on root paths to fragments in ``targets`` (mol_id, frag_id)."""
     edges = cut(transitions.select("mol_id", "from_id", F.col("to_id").alias("frag_id")).distinct())
-    down = min_depth(transitions, root, most).select("mol_id", F.col("frag_id").alias("from_id"))
+    down = min_depth(transitions, root).select("mol_id", F.col("frag_id").alias("from_id"))
     front, found = targets.select("mol_id", "frag_id").distinct(), None
-    for _ in range(most):
-        step = cut(edges.join(front, ["mol_id", "frag_id"]).join(down, EDGE, "left_semi"))
+    while True:
+        step = edges.join(front, ["mol_id", "frag_id"]).join(down, EDGE, "left_semi")
+        step = cut(step if found is None else step.join(found, [*EDGE, "frag_id"], "left_anti"))
         if step.isEmpty():
             break
         found = step if found is None else found.unionByName(step)
@@ -124,13 +128,14 @@ def paths_to(transitions: DataFrame, targets: DataFrame, most: int = 6, root: in
     return (none if found is None else found).select("mol_id", "from_id", F.col("frag_id").alias("to_id")).distinct()
 
 
-def common_ancestors(transitions: DataFrame, targets: DataFrame, most: int = 6) -> DataFrame:
+def common_ancestors(transitions: DataFrame, targets: DataFrame) -> DataFrame:
     """Ancestors with more than one target below, and how many."""
     edges = cut(transitions.select("mol_id", "from_id", F.col("to_id").alias("frag_id")).distinct())
     front = targets.select("mol_id", F.col("frag_id").alias("target"), "frag_id").distinct()
     found = None
-    for _ in range(most):
-        front = cut(front.join(edges, ["mol_id", "frag_id"]).select("mol_id", "target", F.col("from_id").alias("frag_id")).distinct())
+    while True:
+        step = front.join(edges, ["mol_id", "frag_id"]).select("mol_id", "target", F.col("from_id").alias("frag_id")).distinct()
+        front = cut(step if found is None else step.join(found, ["mol_id", "target", "frag_id"], "left_anti"))
         found = front if found is None else found.unionByName(front)
         if front.isEmpty():
             break

@@ -132,6 +132,20 @@ def test_isotopes_and_chemistry(spark):
     assert {r.mol_id for r in t.where("status = 'ok'").collect()} >= {"a"} and t.where("mol_id = 'b'").first().status.startswith("InChI")
 
 
+def test_graph_loops_reach_the_end(spark):
+    from ionmill.operators import graph
+
+    n = 11
+    edges = spark.createDataFrame([(1, k, k + 1) for k in range(n)] + [(1, n, n - 1), (1, 0, n + 1)], "mol_id long, from_id long, to_id long")
+    ends = spark.createDataFrame([(1, n), (1, n + 1)], "mol_id long, frag_id long")
+    assert {r.frag_id: r.depth for r in graph.min_depth(edges).collect()} == {**{k: k for k in range(n + 1)}, n + 1: 1}
+    only = spark.createDataFrame([(1, k) for k in range(1, n + 1)], "mol_id long, frag_id long")
+    assert graph.direct_paths(edges, only).count() == n + 1
+    assert {r.frag_id for r in graph.needed(edges, ends.where("frag_id = 11")).collect()} == set(range(n + 1))
+    assert {(r.from_id, r.to_id) for r in graph.paths_to(edges, ends).collect()} == {(k, k + 1) for k in range(n)} | {(n, n - 1), (0, n + 1)}
+    assert {(r.ancestor, r.n_targets) for r in graph.common_ancestors(edges, ends).collect()} == {(0, 2)}
+
+
 def test_break_features(spark):
     row = ("C", "Zn", True, 2, False, False, False, False, [1, 2], [], 1.2, -7.0, True, False, True, False, False, False, False, False, [1, 1, 4])
     kinds = "ion_root string, nl_root string, ring_break boolean, bond int, aromatic boolean, conjugated boolean, ionic boolean, h_only boolean, ion_bonds array<int>, nl_bonds array<int>, h_shift_ion double, h_shift_nl double, ion_radical boolean, nl_radical boolean, ion_in_ring boolean, nl_in_ring boolean, ion_plus boolean, ion_minus boolean, nl_plus boolean, nl_minus boolean, history array<int>"
