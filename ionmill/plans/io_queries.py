@@ -29,7 +29,7 @@ def isotope_pattern(spark: SparkSession, d: str) -> DataFrame:
 def molecule_fragments(spark: SparkSession, d: str) -> DataFrame:
     known = F.array(*[F.lit(s) for s in ("CC(=O)O", "c1cncnc1", "CCN", "CC(C)O", "C1CCCCC1O", "NCC(=O)O", "CCOC(C)=O")])
     mols = views.table(spark, d, "part").select(F.col("p_partkey").alias("mol_id"), known[F.col("p_size") % 7].alias("structure"))
-    return rounded(chemistry.fragment_table(mols, depth=1), "mass")
+    return rounded(chemistry.fragment_table(mols, depth=2), "mass")
 
 
 def _breaks(spark: SparkSession, d: str) -> DataFrame:

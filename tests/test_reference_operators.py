@@ -132,6 +132,12 @@ def test_isotopes_and_chemistry(spark):
     assert {r.mol_id for r in t.where("status = 'ok'").collect()} >= {"a"} and t.where("mol_id = 'b'").first().status.startswith("InChI")
 
 
+def test_fragments_of_fragments(spark):
+    t = chemistry.fragment_table(spark.createDataFrame([("a", "CC(=O)O"), ("b", "CC(=O)O")], "mol_id string, structure string")).collect()
+    want = {(f["depth"], f["skeleton"], f["mass"]) for f in chemistry.fragments("CC(=O)O", depth=2)[0]}
+    assert max(r.depth for r in t) == 2 and all({(r.depth, r.skeleton, r.mass) for r in t if r.mol_id == k} == want for k in "ab")
+
+
 def test_graph_loops_reach_the_end(spark):
     from ionmill.operators import graph
 
