@@ -19,6 +19,7 @@ import html as entities
 import math
 import random
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,6 +64,8 @@ def parse(page: str) -> tuple[Node, list[Node], list[tuple[Node, str]]]:
     held: list[str] = []
     held_links = 0
     hidden: list[str] = []
+    open_at: dict[str, list[int]] = defaultdict(list, html=[0])  # places in the stack by tag, so that deep nests cost no search
+    firm = [0]  # places of neither paragraphs nor headings
 
     def flush() -> None:
         nonlocal held, held_links
@@ -75,10 +78,14 @@ def parse(page: str) -> tuple[Node, list[Node], list[tuple[Node, str]]]:
                 order.append((top, text))
             held, held_links = [], 0
 
-    def pop_to(k: int) -> None:
-        flush()
-        del stack[k:]
-        inline.clear()
+    def drop(k: int) -> None:
+        while len(stack) > k:
+            open_at[stack.pop().tag].pop()
+        while firm[-1] >= k:
+            firm.pop()
+
+    def last(tags: list[str] | tuple[str, ...]) -> int:
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
 
     at = 0
     search = _MARKUP.search
@@ -107,10 +114,10 @@ def parse(page: str) -> tuple[Node, list[Node], list[tuple[Node, str]]]:
                 if tag in inline:
                     inline.remove(tag)
             else:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        pop_to(k)
-                        break
+                if k := last((tag,)):
+                    flush()
+                    drop(k)
+                    inline.clear()
             continue
         attrs = m[3] or m[6] or ""
         if hidden and (tag == "body" and "head" in hidden or hidden[-1] == "head" and tag not in HEAD):
@@ -136,27 +143,21 @@ def parse(page: str) -> tuple[Node, list[Node], list[tuple[Node, str]]]:
         flush()
         inline.clear()
         if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag not in ("p",) and _GROUP.get(stack[k].tag) != 7:
-                    break
+            if (k := last(("p",))) > firm[-1]:
+                drop(k)
         if tag in SIBLING:
             same, bounds = SIBLING[tag][0].split(), SIBLING[tag][1]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in bounds:
-                    break
-                if stack[k].tag in same:
-                    del stack[k:]
-                    break
-        if tag in ("html", "body") and any(n.tag == tag for n in stack):
+            if (k := last(same)) > last(bounds):
+                drop(k)
+        if tag in ("html", "body") and open_at[tag]:
             continue
         node = Node(tag, attrs, stack[-1])
-        if len(stack) < 400:
-            stack[-1].kids.append(node)
-            nodes.append(node)
-            stack.append(node)
+        stack[-1].kids.append(node)
+        nodes.append(node)
+        open_at[tag].append(len(stack))
+        if tag != "p" and _GROUP.get(tag) != 7:
+            firm.append(len(stack))
+        stack.append(node)
     flush()
     return root, nodes, order
 

@@ -178,6 +178,15 @@ def test_html_heads():
     assert [t for _, t in html_extract.parse("<head><title>t</title> plain <b>text</b>")[2]] == ["plain text"]
 
 
+def test_html_deep_nests():
+    n = 3000
+    root, nodes, order = html_extract.parse(f"<body><article>{'<div>' * n}<p>deep{'</div>' * n}<p>after</article><footer>end</footer>")
+    where = {text: node for node, text in order}
+    assert where["after"].parent.tag == "article" and where["end"].parent.tag == "body" and where["deep"].depth == n + 3 and len(nodes) == n + 6
+    many = 60_000  # no search of the stack for each tag
+    assert len(html_extract.parse(f"<ul>{'<div>' * many}{'<li>x</li></nav>' * many}{'<h1>' * many}")[1]) == 3 * many + 2
+
+
 def test_language(spark, empty):
     r = random.Random(5)
     stems = {"aa": ["bal", "tor", "min", "ke"], "bb": ["schu", "ung", "ver", "lich"], "cc": ["ción", "ado", "que", "ñar"]}
