@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,12 +53,58 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    there = {c.lower() for c in df.columns}
+    name = "_" + name
+    while name.lower() in there:
+        name += "_"
+    return name
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of steps that nothing refers to any more; it acts on garbage collection."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete the folders that hold a materialised DataFrame which nothing needs any more."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        drop_folder(df.sparkSession, path)
+
+
+#: Arrow batches that go to Python workers, unless the session says otherwise.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def tidy() -> None:
+    """Give memory that this Python worker has freed back to the system; workers outlive the operator and share the executor with others."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow in small batches, so that long texts do not add up; the worker's memory is given back at the end of each task."""
+    conf = df.sparkSession.conf
+    for key, value in BATCH.items():
+        if conf.get(key, None) is None:
+            conf.set(key, value)
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return df.mapInArrow(whole, schema)
+
+
 def file_system(uri: str):
     """(pyarrow file system, path) of a URI, for use on executors."""
     from pyarrow import fs

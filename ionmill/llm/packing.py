@@ -2,11 +2,13 @@
 
 Each superstep takes all documents of one length, longest first, and all gaps, both in order. A sweep gives every document its
 successor, the least gap that holds it; where several want the same gap, the lower rank takes it and the rest go on to the next gap;
-when no gap is left, new sequences open. Then the gaps are updated and the next superstep begins. A superstep never depends on
-the order of documents of one length, so it runs on runs of ranks: gaps of one size that were opened or filled together are one
-(first sequence, count) run, and a match of runs is one move (length, first rank, count, first sequence, offset). There are at most
-capacity * (capacity + 1) / 2 pairs of length and gap whatever the number of documents, so the sweep state is bounded by the capacity, and only
-the last step touches rows: every document finds its move by (length, rank).
+when no gap is left, new sequences open. Then the gaps are updated and the next superstep begins.
+
+Documents of one length cannot be told apart, so a superstep runs on runs of ranks: gaps of one size that were opened or filled together are one
+(first sequence, count) run, and a match of runs is one move (length, first rank, count, first sequence, offset). A superstep splits one run and
+opens at most 2 + capacity / length, and every other move replaces a run by one of smaller gap: runs and moves are bounded by the capacity
+alone, whatever the number of documents. So the sweeps need no cluster: they run on the driver over at most ``capacity`` counts, and
+the work that grows with the documents (token ids, ranks, placing each document by its move) is distributed.
 
 Ranks are dealt without a global sort: tasks number their pieces within a length as they write them, and one prefix sum over
 (length, task) counts makes the numbers global. A length that a third of all rows share is spread over all tasks.
@@ -38,7 +40,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((first + k * capacity, capacity) for k in range(whole))]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, space_free: bool = False, cache_size: int = 300_000) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, space_free: bool = False, cache_bytes: int = 128 << 20) -> DataFrame:
     """PIECES: every document's pieces, with their place among the pieces of that length in the same task."""
 
     def run(batches: Iterator) -> Iterator:
@@ -46,21 +48,19 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, sp
         from pyspark import TaskContext
 
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        enc, end = tokens.encoder(tokenizer, space_free, cache_size), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in tokens.in_slices(texts):
-                rows = []
-                for doc_id, got in zip(ids[a:b], enc.encode(texts[a:b]), strict=True):
-                    got += end
-                    for k, (start, length) in enumerate(cut(len(got) // 4, capacity)):
-                        rows.append((doc_id, k, start, length, zlib.crc32(got[4 * start:4 * (start + length)]), task, int(seen[length])))
-                        seen[length] += 1
-                cols = list(zip(*rows, strict=True))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
+        enc, end = tokens.encoder(tokenizer, space_free, cache_bytes), np.array([end_id], "<u4").tobytes()
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
+        for ids, texts in tokens.gathered(batches):
+            rows = []
+            for doc_id, got in zip(ids, enc.encode(texts), strict=True):
+                got += end
+                for k, (start, length) in enumerate(cut(len(got) // 4, capacity)):
+                    rows.append((doc_id, k, start, length, zlib.crc32(got[4 * start:4 * (start + length)]), task, int(seen[length])))
+                    seen[length] += 1
+            cols = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, PIECES)
+    return common.map_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "text"), run, PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
@@ -110,10 +110,10 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
     return np.array(moves, np.int64).reshape(-1, 5), opened
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, space_free: bool = False, cache_size: int = 300_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, space_free: bool = False, cache_bytes: int = 128 << 20) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    pieces = common.materialize(token_pieces(docs, tokenizer, capacity, end_id, space_free, cache_size), "pieces")
+    pieces = common.materialize(token_pieces(docs, tokenizer, capacity, end_id, space_free, cache_bytes), "pieces")
     per_task = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
@@ -132,4 +132,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
             sequence = table[at, 3] + rank - table[at, 1]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(table[at, 4])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return common.map_arrow(ranked, place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -99,7 +99,7 @@ class Shard:
         return np.concatenate(out) if out else np.zeros(0, "<u4")
 
 
-def write_token_shards(docs: DataFrame, path: str, tokenizer: str, *, space_free: bool = True, end_id: int = 2, block_ids: int = 4096, file_ids: int = 4_000_000) -> list[int]:
+def write_token_shards(docs: DataFrame, path: str, tokenizer: str, *, space_free: bool = True, end_id: int = 2, block_ids: int = 4096, file_ids: int = 2_000_000, special_as_text: bool = False) -> list[int]:
     """Encode ``docs`` (doc_id, text) into files under ``path``, in ascending doc_id order; the ids of each partition, in order."""
 
     def write(batches: Iterator) -> Iterator:
@@ -107,7 +107,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, *, space_free
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        enc = tokens.encoder(tokenizer, space_free)
+        enc = tokens.encoder(tokenizer, space_free, special_as_text=special_as_text)
         width = id_width(max(enc.vocab_size, end_id + 1))
         end = np.array([end_id], "<u4").tobytes()
         held: list[tuple[int | None, bytes]] = []
@@ -118,20 +118,18 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, *, space_free
             common.publish(path, f"part-{part:06d}-{n_files:06d}.tok", shard_bytes(held, width, block_ids, n_before))
             n_before, n_files, held, n_held = n_before + n_held, n_files + 1, [], 0
 
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in tokens.in_slices(texts):
-                for doc_id, got in zip(ids[a:b], enc.encode(texts[a:b]), strict=True):
-                    held.append((doc_id, got + end))
-                    n_held += len(got) // 4 + 1
-                    if n_held >= file_ids:
-                        flush()
+        for ids, texts in tokens.gathered(batches):
+            for doc_id, got in zip(ids, enc.encode(texts), strict=True):
+                held.append((doc_id, got + end))
+                n_held += len(got) // 4 + 1
+                if n_held >= file_ids:
+                    flush()
         if held:
             flush()
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "files": pa.array([n_files], pa.int32()), "ids": pa.array([n_before], pa.int64())})
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    rows = ordered.mapInArrow(write, "part int, files int, ids long").collect()  # one row per task
+    rows = common.map_arrow(ordered, write, "part int, files int, ids long").collect()  # one row per task
     counts = dict.fromkeys(range(1 + max((r.part for r in rows), default=-1)), 0)
     counts.update((r.part, r.ids) for r in rows)
     return [counts[k] for k in sorted(counts)]
@@ -166,7 +164,7 @@ def read_token_shards(spark, path: str, part_ids: list[int]) -> DataFrame:
     if not sum(part_ids):
         return spark.createDataFrame([], schema)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(path).select("path", "content")
-    return files.mapInArrow(read, schema)
+    return common.map_arrow(files, read, schema)
 
 
 def with_crc32(df: DataFrame, ids: str = "ids", name: str = "ids_crc32") -> DataFrame:

@@ -1,107 +1,143 @@
 """Exact whole-text tokenisation with the tokenizers library, at the speed of a cache.
 
-Two caches, each filled by the library itself:
-
-* Pieces. Both vocabularies split a text wherever a non-space character is followed by a space, tab or line break, whatever
-  stands around it, since no pre-token holds a non-space character before white space. So a text's ids are those of its pieces
-  (white-space run, then non-space run), joined. A text with other white space, where this needs context, goes to the
-  library whole.
-* Pre-tokens. A new piece made of plain Latin-1 letters, digits and signs is split by the vocabulary's own pattern and only the
-  pre-tokens not seen before are encoded; any other new piece is encoded by the library as it stands.
+Both vocabularies split a text wherever a non-space character is followed by a space, tab or line break, whatever stands around it, since no
+pre-token holds a non-space character before white space. So a text's ids are those of its pieces (white-space run, then non-space run), joined.
+A new piece made of plain Latin-1 letters, digits and signs is split further by the vocabulary's own pattern, and only the strings not seen
+before are encoded, by the library itself. A text with other white space, or one that spells an added token, goes to the library whole,
+because these need context.
 """
 
 from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
+from collections.abc import Iterator
 
 _ODD_SPACE = re.compile(r"[^\S \n\t\r]")
 _PIECE = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 _LETTERS = "a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_ONE = re.compile(f" ?[{_LETTERS}]+").fullmatch
 _PLAIN = re.compile(f"[{_LETTERS}0-9 \n\t\r!-/:-@\\[-`{{-~]*").fullmatch
 #: The vocabularies' pre-token patterns, for plain pieces.
 _SPACE_FREE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s{_LETTERS}0-9]+").findall
 _SPACE_BOUND = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s{_LETTERS}0-9]+|\\s+(?!\\S)|\\s+").findall
+#: Bytes that an entry of the cache takes besides its string and ids.
+_ENTRY = 220
 
 
 class TextEncoder:
     """Texts to ids as little-endian unsigned 32-bit bytes.
 
     space_free: the vocabulary is lower case and drops white space (else it keeps both).
-    cache_size: pieces, and half as many as pre-tokens, kept per Python worker; what comes later is encoded anew.
-    Texts that spell a special token are encoded as ordinary text.
+    cache_bytes: bound of what is kept between calls. The cache has two generations: a full young one becomes the old one, and what is met again moves up.
+    special_as_text: a text that spells an added token is encoded as ordinary text, not as that token.
     """
 
-    def __init__(self, path: str, space_free: bool = False, cache_size: int = 300_000):
+    def __init__(self, path: str, space_free: bool = False, cache_bytes: int = 128 << 20, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.space_free, self.cache_size = space_free, cache_size
-        self.pieces: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(added), re.I).search if added and not special_as_text else lambda text: None
+        self.space_free, self.cache_bytes = space_free, cache_bytes
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
         self.vocab_size = self.tokenizer.get_vocab_size()
 
     def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _split(self, text: str) -> list[str]:
         if self.space_free:
             return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         return _PIECE.findall(text)
 
-    def _token_ids(self, wanted: set[str]) -> dict[str, bytes]:
-        """Ids of pre-tokens; the first ones seen are kept for good, as frequent ones come early."""
-        new = list(wanted.difference(self.tokens))
-        got = dict(zip(new, self.library(new), strict=True))
-        if len(self.tokens) + len(got) <= 2 * self.cache_size:
-            self.tokens.update(got)
-        known = self.tokens
-        got.update((t, known[t]) for t in wanted.difference(got))
-        return got
-
-    def _piece_ids(self, wanted: set[str]) -> dict[str, bytes]:
-        new = wanted.difference(self.pieces)
-        cut = _SPACE_FREE if self.space_free else _SPACE_BOUND
-        low = str.lower if self.space_free else str
-        plain = {p: cut(low(p)) for p in new if _PLAIN(p)}
-        get = self._token_ids({t for ts in plain.values() for t in ts}).__getitem__
-        got = {p: b"".join(map(get, ts)) for p, ts in plain.items()}
-        other = [p for p in new if p not in plain]
-        got.update(zip(other, self.library(other), strict=True))
-        if len(self.pieces) + len(got) <= self.cache_size:
-            self.pieces.update(got)
-        known = self.pieces
-        got.update((p, known[p]) for p in wanted.difference(got))
-        return got
+    def _meet(self, wanted: set[str]) -> set[str]:
+        """Those of ``wanted`` that are not known; known ones are young afterwards."""
+        new = wanted.difference(self.young)
+        if self.old:
+            back = new.intersection(self.old)
+            self._add(back, map(self.old.__getitem__, back))
+            new -= back
+        return new
+
+    def _add(self, strings, ids) -> None:
+        got = dict(zip(strings, ids, strict=True))
+        self.young.update(got)
+        self.held += sum(map(len, got)) + sum(map(len, got.values())) + _ENTRY * len(got)
+
+    def _learn(self, pieces: set[str]) -> None:
+        cut, low = (_SPACE_FREE, str.lower) if self.space_free else (_SPACE_BOUND, str)
+        whole, split = [], {}
+        for p in pieces:
+            if _ONE(p):
+                if (t := low(p)) == p:
+                    whole.append(p)
+                else:
+                    split[p] = (t,)
+            elif _PLAIN(p):
+                split[p] = cut(low(p))
+            else:
+                whole.append(p)
+        self._add(whole, self.library(whole))
+        parts: set[str] = set()
+        parts.update(*split.values())
+        new = list(self._meet(parts))
+        self._add(new, self.library(new))
+        get = self.young.__getitem__
+        self._add(split, [b"".join(map(get, ts)) for ts in split.values()])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """One byte string per text. Nulls are the caller's to replace."""
         out: dict[int, bytes] = {}
-        odd = [i for i, t in enumerate(texts) if _ODD_SPACE.search(t)]
+        odd = [i for i, t in enumerate(texts) if _ODD_SPACE.search(t) or self.special(t)]
         out.update(zip(odd, self.library([texts[i] for i in odd]), strict=True))
         split = {i: self._split(t) for i, t in enumerate(texts) if i not in out}
         wanted: set[str] = set()
         wanted.update(*split.values())
-        get = self._piece_ids(wanted).__getitem__
+        if new := self._meet(wanted):
+            self._learn(new)
+        get = self.young.__getitem__
         out.update((i, b"".join(map(get, ps))) for i, ps in split.items())
+        if self.held > self.cache_bytes // 2:
+            self.old = self.young if self.held <= self.cache_bytes else {}  # one call may learn more than the bound
+            self.young, self.held = {}, 0
         return [out[i] for i in range(len(texts))]
 
 
 _ENCODERS: dict[tuple, TextEncoder] = {}
 
 
-def encoder(path: str, space_free: bool = False, cache_size: int = 300_000) -> TextEncoder:
-    """The encoder of this Python worker; workers are reused, and so are the caches."""
+def encoder(path: str, space_free: bool = False, cache_bytes: int = 128 << 20, special_as_text: bool = False) -> TextEncoder:
+    """The encoder of this Python worker; workers are reused, and so is the cache. A worker holds one encoder at a time."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    key = (path, space_free, cache_size)
+    key = (path, space_free, cache_bytes, special_as_text)
     if key not in _ENCODERS:
-        _ENCODERS[key] = TextEncoder(path, space_free, cache_size)
+        _ENCODERS.clear()
+        _ENCODERS[key] = TextEncoder(*key)
     return _ENCODERS[key]
 
 
+def gathered(batches: Iterator, most_chars: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:
+    """(ids, texts) of the first two columns, in runs of about that many characters whatever the batches; null texts are empty."""
+    ids: list = []
+    texts: list[str] = []
+    n = 0
+    for batch in batches:
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids.append(i)
+            texts.append(t or "")
+            n += len(texts[-1])
+            if n >= most_chars:
+                yield ids, texts
+                ids, texts, n = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def slices(sizes: list[int], most: int):
     """(first, last) of runs whose sizes reach about that much, for bounded memory."""
     first, n = 0, 0
