@@ -34,18 +34,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     spark = edges.sparkSession
     own = edges.where("u is not null and v is not null and u <> v")
-    now = common.materialize(own.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
-    mark, paths = None, []
+    path = common.scratch(spark, "components")
+    now = common.materialize(own.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components", path)
+    mark, paths = None, [path]
     for _ in range(max_rounds):
         path = common.scratch(spark, "components")
         now = common.materialize(_small_star(_large_star(now).distinct()).distinct(), "components", path)
+        common.drop_folder(spark, paths.pop())  # the round before
         paths.append(path)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
         mark = seen
-        if len(paths) > 2:
-            common.drop_folder(spark, paths.pop(0))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("v").alias("node")).distinct()

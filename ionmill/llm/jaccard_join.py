@@ -39,6 +39,12 @@ _WORD = byte_table(bytes(x for x in range(256) if x != 0x20 and not 0x09 <= x <=
 SHINGLE = 5
 #: Members of a list that may be broadcast as (8-byte) ids to fetch their texts; above it the fetch is a shuffled join.
 BROADCAST_IDS = 500_000
+#: Pairs, and pivots, that may be broadcast (two fingerprints each, or a fingerprint and a sketch); above it the join is shuffled.
+BROADCAST_PAIRS, BROADCAST_PIVOTS = 300_000, 50_000
+#: Characters of texts that are turned to shingles at once.
+CHARS = 2_000_000
+#: Signatures of one bucket, about: sizes what one task sorts.
+BUCKET_SIGNATURES = 1_500_000
 _U = np.uint64
 
 
@@ -137,10 +143,6 @@ def signatures(hashes: np.ndarray, first: np.ndarray, frequent: np.ndarray) -> t
     return (np.concatenate(sigs), np.concatenate(sets)) if sigs else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def _texts(batch) -> tuple[list, list[str]]:
-    return batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-
-
 def _summary(docs: DataFrame, least_in_task: int, held_shingles: int) -> DataFrame:
     """Rows (doc_id, n, fp) per document and (shingle, docs) per shingle that a task meets often."""
 
@@ -156,27 +158,51 @@ def _summary(docs: DataFrame, least_in_task: int, held_shingles: int) -> DataFra
             pick = docs_with >= least_in_task
             return make(int(pick.sum()), shingle=pa.array(shingle[pick].view(np.int64)), docs=pa.array(docs_with[pick]))
 
-        for batch in batches:
-            ids, texts = _texts(batch)
-            for a, b in tokens.in_slices(texts, 2_000_000):
-                hashes, first = shingle_sets(texts[a:b])
-                fp = fingerprints(hashes, first)
-                yield make(b - a, doc_id=pa.array(ids[a:b], pa.int64()), n=pa.array(np.diff(first)), fp=pa.array([x.tobytes() for x in fp], pa.binary()))
-                distinct = np.unique(fp, axis=0, return_index=True)[1]
-                for k in distinct:
-                    held.append(hashes[first[k]:first[k + 1]])
-                n_held += len(hashes)
-                if n_held >= held_shingles:
-                    yield often()
-                    held, n_held = [], 0
+        for ids, texts in tokens.gathered(batches, CHARS):
+            hashes, first = shingle_sets(texts)
+            fp = fingerprints(hashes, first)
+            yield make(len(ids), doc_id=pa.array(ids, pa.int64()), n=pa.array(np.diff(first)), fp=pa.array([x.tobytes() for x in fp], pa.binary()))
+            distinct = np.unique(fp, axis=0, return_index=True)[1]
+            pick = np.zeros(len(fp), bool)
+            pick[distinct] = True
+            held.append(hashes[np.repeat(pick, np.diff(first))])
+            n_held += len(held[-1])
+            if n_held >= held_shingles:
+                yield often()
+                held, n_held = [], 0
         if n_held:
             yield often()
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n long, fp binary, shingle long, docs long")
+    return common.map_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "text"), run, "doc_id long, n long, fp binary, shingle long, docs long")
+
+
+#: Bytes of a signature and of a set's name within a bucket. The bucket number is part of the signature; a name that two sets share
+#: makes both of them members, and the chance that it hides a link is 2^-48.
+_SIG, _NAME = 5, 6
+
+
+def _low_bytes(values: np.ndarray, n: int) -> bytes:
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].tobytes()
+
+
+def _from_low_bytes(data: bytes, at: int, count: int, n: int) -> np.ndarray:
+    wide = np.zeros((count, 8), np.uint8)
+    wide[:, :n] = np.frombuffer(data, np.uint8, count * n, at).reshape(-1, n)
+    return wide.view("<u8").ravel()
+
+
+def name_of(fp: np.ndarray) -> np.ndarray:
+    return fp[:, 0] & _U((1 << 8 * _NAME) - 1)
+
+
+def class_name(fp):
+    """name_of as a column expression: the first _NAME bytes of a fingerprint, little-endian."""
+    byte = lambda k: F.conv(F.hex(F.substring(fp, k + 1, 1)), 16, 10).cast("long")
+    return sum((byte(k) * (1 << 8 * k) for k in range(1, _NAME)), byte(0))
 
 
 def _blocks(docs: DataFrame, frequent, n_buckets: int, held_shingles: int) -> DataFrame:
-    """(bucket, block): packed signatures. A block is sets (uint32), fp of each (16 bytes), signatures of each (uint32), then 5 bytes per signature."""
+    """(bucket, block): packed signatures. A block is sets (uint32), the name of each, its signatures there less one (uint8), then the signatures."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -186,84 +212,87 @@ def _blocks(docs: DataFrame, frequent, n_buckets: int, held_shingles: int) -> Da
 
         def packed(hashes, first, fp):
             sig, owner = signatures(hashes, first, common_ones)
+            if not len(sig):
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int32()), pa.array([], pa.binary())], ["bucket", "block"])
             bucket = (sig % _U(n_buckets)).astype(np.int64)
             order = np.lexsort((owner, bucket))
-            sig, owner, bucket = (sig >> _U(24))[order], owner[order], bucket[order]
-            short = sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+            sig, owner, bucket = (sig >> _U(64 - 8 * _SIG))[order], owner[order], bucket[order]
+            # entries (bucket, set); one with more than 256 signatures counts as several
+            same = np.concatenate([[False], (bucket[1:] == bucket[:-1]) & (owner[1:] == owner[:-1])])
+            begin = np.flatnonzero(~same)
+            place = np.arange(len(sig)) - np.repeat(begin, np.diff(np.concatenate([begin, [len(sig)]])))
+            begin = np.flatnonzero(place % 256 == 0)
+            counts = np.diff(np.concatenate([begin, [len(sig)]]))
             edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
-            out_bucket, out = [], []
-            for k in np.flatnonzero(np.diff(edges)):
-                a, b = edges[k], edges[k + 1]
-                who, counts = np.unique(owner[a:b], return_counts=True)
-                out_bucket.append(int(k))
-                out.append(b"".join([np.uint32(len(who)).tobytes(), fp[who].tobytes(), counts.astype("<u4").tobytes(), short[a:b].tobytes()]))
-            return pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array(out, pa.binary())], ["bucket", "block"])
-
-        for batch in batches:
-            _, texts = _texts(batch)
-            for a, b in tokens.in_slices(texts, held_shingles * 6):
-                hashes, first = shingle_sets(texts[a:b])
-                fp = fingerprints(hashes, first)
-                names = [x.tobytes() for x in fp]
-                fresh = []
-                for k, name in enumerate(names):
-                    if first[k + 1] > first[k] and name not in seen:
-                        seen.add(name)
-                        fresh.append(k)
-                if len(seen) > 500_000:
-                    seen.clear()
-                if fresh:
-                    sizes = np.diff(first)[fresh]
-                    pick = np.zeros(len(names), bool)
-                    pick[fresh] = True
-                    yield packed(hashes[np.repeat(pick, np.diff(first))], np.concatenate([[0], np.cumsum(sizes)]), fp[fresh])
-
-    return docs.selectExpr("doc_id", "text").mapInArrow(run, "bucket int, block binary")
+            entry_edges = np.searchsorted(begin, edges)
+            names = name_of(fp)[owner[begin]]
+            filled = np.flatnonzero(np.diff(edges))
+            out = []
+            for k in filled:
+                i, j = entry_edges[k], entry_edges[k + 1]
+                out.append(b"".join([np.uint32(j - i).tobytes(), _low_bytes(names[i:j], _NAME), (counts[i:j] - 1).astype(np.uint8).tobytes(), _low_bytes(sig[edges[k]:edges[k + 1]], _SIG)]))
+            return pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), pa.array(out, pa.binary())], ["bucket", "block"])
+
+        for _, texts in tokens.gathered(batches, held_shingles * 3):
+            hashes, first = shingle_sets(texts)
+            fp = fingerprints(hashes, first)
+            fresh = []
+            for k, row in enumerate(fp):
+                if first[k + 1] > first[k] and (name := row.tobytes()) not in seen:
+                    seen.add(name)
+                    fresh.append(k)
+            if len(seen) > 200_000:
+                seen.clear()
+            if fresh:
+                sizes = np.diff(first)[fresh]
+                pick = np.zeros(len(fp), bool)
+                pick[fresh] = True
+                yield packed(hashes[np.repeat(pick, np.diff(first))], np.concatenate([[0], np.cumsum(sizes)]), fp[fresh])
+
+    return common.map_arrow(docs.selectExpr("doc_id", "text"), run, "bucket int, block binary")
 
 
 def _unpack(blocks) -> tuple[np.ndarray, np.ndarray]:
-    """(signatures, fingerprints) of all entries of some blocks."""
-    sigs, fps = [], []
+    """(signatures, names) of all entries of some blocks."""
+    sigs, names = [], []
     for data in blocks:
         n = int(np.frombuffer(data, "<u4", 1)[0])
-        fp = np.frombuffer(data, "<u8", 2 * n, 4).reshape(n, 2)
-        counts = np.frombuffer(data, "<u4", n, 4 + 16 * n)
-        raw = np.frombuffer(data, np.uint8, -1, 4 + 20 * n).reshape(-1, 5)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :5] = raw
-        sigs.append(wide.view("<u8").ravel())
-        fps.append(np.repeat(fp, counts, axis=0))
-    return np.concatenate(sigs), np.concatenate(fps)
+        counts = np.frombuffer(data, np.uint8, n, 4 + _NAME * n).astype(np.int64) + 1
+        sigs.append(_from_low_bytes(data, 4 + (_NAME + 1) * n, int(counts.sum()), _SIG))
+        names.append(np.repeat(_from_low_bytes(data, 4, n, _NAME), counts))
+    return np.concatenate(sigs), np.concatenate(names)
 
 
 def _lists(blocks: DataFrame) -> DataFrame:
-    """(lid, members): distinct sets of fingerprints that share a signature, two or more."""
+    """(lid, members): distinct sets of names that share a signature, two or more."""
 
     def run(table):
         import pyarrow as pa
 
-        sig, fp = _unpack(x.as_buffer().to_pybytes() for x in table.column("block"))
+        sig, name = _unpack(x.as_buffer().to_pybytes() for x in table.column("block"))
         order = np.argsort(sig, kind="stable")
         sig = sig[order]
         same = np.concatenate([[False], sig[1:] == sig[:-1]])
         shared = same | np.concatenate([same[1:], [False]])
-        sig, fp = sig[shared], fp[order[shared]]
-        order = np.lexsort((fp[:, 1], fp[:, 0], sig))
-        sig, fp = sig[order], fp[order]
+        sig, name = sig[shared], name[order[shared]]
+        order = np.lexsort((name, sig))
+        sig, name = sig[order], name[order]
         if len(sig):
-            new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (fp[1:] != fp[:-1]).any(axis=1)])
-            sig, fp = sig[new], fp[new]
+            new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (name[1:] != name[:-1])])
+            sig, name = sig[new], name[new]
         begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
         ends = np.concatenate([begin[1:], [len(sig)]]) if len(begin) else begin
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(fp[:, 0] ^ (fp[:, 1] << _U(1))), dtype=np.uint64)])
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(name ^ _U(0x5EED)), dtype=np.uint64)])
         lid = mix(total[ends] - total[begin])
-        many = ends - begin > 1
-        pick = np.flatnonzero(many)
+        pick = np.flatnonzero(ends - begin > 1)
         pick = pick[np.unique(lid[pick], return_index=True)[1]]
-        members = [[x.tobytes() for x in fp[begin[k]:ends[k]]] for k in pick]
-        return pa.table({"lid": pa.array(lid[pick].view(np.int64)), "members": pa.array(members, pa.list_(pa.binary()))})
+        sizes = (ends - begin)[pick]
+        flat = np.concatenate([name[begin[k]:ends[k]] for k in pick]) if len(pick) else np.zeros(0, np.uint64)
+        members = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat.view(np.int64)))
+        common.tidy()
+        return pa.table({"lid": pa.array(lid[pick].view(np.int64)), "members": members})
 
-    return blocks.groupBy("bucket").applyInArrow(run, "lid long, members array<binary>").dropDuplicates(["lid"])
+    return blocks.groupBy("bucket").applyInArrow(run, "lid long, members array<long>").dropDuplicates(["lid"])
 
 
 #: 64-bit words of a parity sketch.
@@ -294,15 +323,13 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            _, texts = _texts(batch)
-            for a, b in tokens.in_slices(texts, 2_000_000):
-                hashes, first = shingle_sets(texts[a:b])
-                fp, sketch = fingerprints(hashes, first), sketches(hashes, first)
-                cols = [pa.array([x.tobytes() for x in fp], pa.binary()), pa.array(np.diff(first)), pa.array(sketch.tolist(), pa.list_(pa.int64())), pa.array(texts[a:b], pa.string())]
-                yield pa.RecordBatch.from_arrays(cols, ["fp", "n", "sketch", "text"])
+        for _, texts in tokens.gathered(batches, CHARS):
+            hashes, first = shingle_sets(texts)
+            fp, sketch = fingerprints(hashes, first), sketches(hashes, first)
+            cols = [pa.array([x.tobytes() for x in fp], pa.binary()), pa.array(np.diff(first)), pa.array(sketch.tolist(), pa.list_(pa.int64())), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, ["fp", "n", "sketch", "text"])
 
-    return texts.mapInArrow(run, "fp binary, n long, sketch array<long>, text string")
+    return common.map_arrow(texts, run, "fp binary, n long, sketch array<long>, text string")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = 75) -> bool:
@@ -310,15 +337,28 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = 75) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _hint(df: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(df) if few else df
+
+
+def _sketched(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the (u, v) pairs whose sketches and sizes may link. v is the pivot: few of them stand in most pairs."""
+    of = lambda x: texts.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    pivots = pairs.select("v").distinct()
+    few = pivots.limit(BROADCAST_PIVOTS + 1).count() <= BROADCAST_PIVOTS
+    pivot = of("v").join(_hint(pivots, few), "v", "left_semi")
+    return pairs.join(_hint(pivot, few), "v").join(of("u"), "u").where(may_link("su", "nu", "sv", "nv")).select("u", "v")
+
+
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The (u, v) that link, by the whole sets of their texts."""
+    """The (u, v) that link, by the whole sets of their texts. Only texts of pairs travel."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             u, v, left, right = (batch.column(k).to_pylist() for k in range(4))
-            for a, b in tokens.slices([len(x) + len(y) for x, y in zip(left, right, strict=True)], 2_000_000):
+            for a, b in tokens.slices([len(x) + len(y) for x, y in zip(left, right, strict=True)], CHARS):
                 by_name = dict(zip(u[a:b], left[a:b], strict=True)) | dict(zip(v[a:b], right[a:b], strict=True))
                 place = {name: k for k, name in enumerate(by_name)}
                 hashes, first = shingle_sets(list(by_name.values()))
@@ -326,8 +366,25 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 good = [linked(of(x), of(y)) for x, y in zip(u[a:b], v[a:b], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(u[a:b], pa.binary()), pa.array(v[a:b], pa.binary())], ["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    full = pairs.join(texts.select(F.col("fp").alias("u"), F.col("text").alias("left")), "u").join(texts.select(F.col("fp").alias("v"), F.col("text").alias("right")), "v")
-    return full.select("u", "v", "left", "right").mapInArrow(run, "u binary, v binary")
+    few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
+    left = texts.select(F.col("fp").alias("u"), F.col("text").alias("left")).join(_hint(pairs, few), "u")
+    right = texts.select(F.col("fp").alias("v"), F.col("text").alias("right")).join(_hint(pairs.select("v").distinct(), few), "v", "left_semi")
+    return common.map_arrow(left.join(right, "v").select("u", "v", "left", "right"), run, "u binary, v binary")
+
+
+#: Members of an open list that meet in one task at most, squared.
+CELL = 1000
+
+
+def _open_pairs(still_open: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v) of different components within a list that may link. A long list is dealt over cells of CELL members each way, so that no task meets all of it."""
+    sketch = texts.select("fp", "sketch")
+    parts = F.ceil(F.col("m") / CELL).cast("int")
+    sized = still_open.join(still_open.groupBy("lid").agg(F.count(F.lit(1)).alias("m")), "lid").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
+    full = sized.join(sketch, "fp").select("lid", "fp", "comp", "n", "sketch", "part", F.sequence(F.lit(0), F.col("parts") - 1).alias("other"))
+    one = full.select("lid", F.col("fp").alias("u"), F.col("comp").alias("cu"), F.col("n").alias("nu"), F.col("sketch").alias("su"), F.col("part").alias("a"), F.explode("other").alias("b"))
+    other = full.select("lid", F.col("fp").alias("v"), F.col("comp").alias("cv"), F.col("n").alias("nv"), F.col("sketch").alias("sv"), F.col("part").alias("b"), F.explode("other").alias("a"))
+    return one.join(other, ["lid", "a", "b"]).where(F.expr("u < v and cu <> cv") & may_link("su", "nu", "sv", "nv")).select("u", "v").distinct()
 
 
 def jaccard_components(docs: DataFrame, *, common_docs: int = 64, common_most: int = 500_000, least_in_task: int = 3, star_rounds: int = 2, held_shingles: int = 1_000_000, n_buckets: int | None = None) -> DataFrame:
@@ -339,41 +396,46 @@ def jaccard_components(docs: DataFrame, *, common_docs: int = 64, common_most: i
     top = [r.shingle for r in often.orderBy(F.desc("docs"), "shingle").limit(common_most).select("shingle").collect()]  # speed only; at most 8 bytes x common_most
     frequent = spark.sparkContext.broadcast(np.sort(np.array(top, np.int64).view(np.uint64)))
 
-    classes = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.count(F.lit(1)).alias("class_size"))
-    buckets = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lists = common.materialize(_lists(_blocks(docs, frequent, buckets, held_shingles)), "lists")
-    members = lists.select("lid", F.size("members").alias("m"), F.explode("members").alias("fp"))
-    known = members.groupBy("fp").agg(F.sum("m").alias("weight")).join(classes.select("fp", "n", "low"), "fp")
+    classes = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.count(F.lit(1)).alias("class_size")).withColumn("name", class_name(F.col("fp")))
+    if n_buckets is None:
+        shingles = rows.agg(F.sum("n")).first()[0] or 0
+        n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shingles // BUCKET_SIGNATURES))
+    lists = common.materialize(_lists(_blocks(docs, frequent, n_buckets, held_shingles)), "lists")
+    common.release(spark)
+    frequent.unpersist()
+    members = lists.select("lid", F.size("members").alias("m"), F.explode("members").alias("name"))
+    known = members.groupBy("name").agg(F.sum("m").alias("weight")).join(classes.select("name", "fp", "n", "low"), "name")
     known = common.materialize(known, "members")
-    left = common.materialize(members.select("lid", "fp").join(known.select("fp", "weight", "n"), "fp"), "lists")
+    left = common.materialize(members.select("lid", "name").join(known.select("name", "fp", "weight", "n"), "name").drop("name"), "lists")
+    common.drop_table(lists)
     common.release(spark)
     texts = common.materialize(_texts_of(docs, known.select("fp", "low")), "texts")
     sizes = texts.agg(F.count(F.lit(1)), F.countDistinct("fp")).first()
     if sizes[0] != sizes[1]:  # rows that repeat a doc_id
-        texts = common.materialize(texts.dropDuplicates(["fp"]), "texts")
-
-    sketch_u, sketch_v = (texts.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "uv")
+        several, texts = texts, common.materialize(texts.dropDuplicates(["fp"]), "texts")
+        common.drop_table(several)
+    common.drop_table(known)
 
     links, comps, tested = None, None, None
     for step in range(star_rounds + 1):
         now = left.withColumn("comp", F.col("fp")) if comps is None else left.join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
         pivots = now.groupBy("lid").agg(F.min("comp").alias("one"), F.max("comp").alias("other"), F.max(F.struct("weight", "fp", "n", "comp")).alias("pivot")).where("one <> other")
         still_open = common.materialize(now.join(pivots.select("lid", "pivot"), "lid"), "open-lists")
+        common.drop_table(left)
+        left = still_open
         if still_open.isEmpty():
             break
         if step < star_rounds:
-            found = still_open.where(F.col("comp") != F.col("pivot.comp")).select(F.least("fp", "pivot.fp").alias("u"), F.greatest("fp", "pivot.fp").alias("v")).distinct()
-            found = found.join(sketch_u, "u").join(sketch_v, "v").where(may_link("su", "nu", "sv", "nv")).select("u", "v")
-            left = still_open.where(F.col("fp") != F.col("pivot.fp")).select("lid", "fp", "weight", "n")
+            found = still_open.where(F.col("comp") != F.col("pivot.comp")).select(F.col("fp").alias("u"), F.col("pivot.fp").alias("v")).distinct()
+            found = _sketched(found, texts)
         else:
-            one = still_open.select("lid", F.col("fp").alias("u"), F.col("comp").alias("cu")).join(sketch_u, "u")
-            other = still_open.select("lid", F.col("fp").alias("v"), F.col("comp").alias("cv")).join(sketch_v, "v")
-            near = (one["lid"] == other["lid"]) & F.expr("u < v and cu <> cv") & may_link("su", "nu", "sv", "nv")
-            found = one.join(other, near).select("u", "v")
-        found = found.distinct()
+            found = _open_pairs(still_open, texts)
         if tested is not None:
-            found = found.join(tested, ["u", "v"], "left_anti")
+            flipped = tested.select(F.col("v").alias("u"), F.col("u").alias("v"))
+            found = found.join(tested.unionByName(flipped), ["u", "v"], "left_anti")
         pairs = common.materialize(found, "pairs")
+        if step < star_rounds:
+            left = still_open.where(F.col("fp") != F.col("pivot.fp")).select("lid", "fp", "weight", "n")
         if pairs.isEmpty():
             continue
         got = common.materialize(_verify(pairs, texts), "links")
@@ -381,7 +443,15 @@ def jaccard_components(docs: DataFrame, *, common_docs: int = 64, common_most: i
         tested = pairs if tested is None else tested.unionByName(pairs)
         if not got.isEmpty():
             links = got if links is None else links.unionByName(got)
-            comps = common.materialize(components.connected_components(links).select(F.col("node").alias("fp"), F.col("component").alias("comp")), "comps")
+            stars = components.connected_components(links)
+            before, comps = comps, common.materialize(stars.select(F.col("node").alias("fp"), F.col("component").alias("comp")), "comps")
+            for spent in (stars, before):
+                if spent is not None:
+                    common.drop_table(spent)
+    for spent in (left, texts, tested, links):
+        if spent is not None:
+            common.drop_table(spent)
+    common.release(spark)
     if comps is None:
         named = classes.withColumn("component_id", F.col("low"))
     else:
@@ -394,13 +464,18 @@ def jaccard_components(docs: DataFrame, *, common_docs: int = 64, common_most: i
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs``, all columns, with one document of each group: the one with the smallest doc_id."""
+    """The rows of ``docs``, all columns, with one document of each group: the one with the smallest doc_id; null ids come last, and of rows that share the id one stays."""
+    row = common.fresh(docs, "row")
     counts = docs.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
-    if counts[0] != counts[1]:  # ids repeat or are null: number the rows
-        named = common.materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    unique = counts[0] == counts[1]
+    named = docs.withColumn(row, F.col("doc_id").cast("long")) if unique else common.materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = jaccard_components(named.select(F.col(row).alias("doc_id"), "text"), **settings).select(F.col("doc_id").alias("row"), F.col("component_id").alias("comp"))
+    if unique:
+        gone = groups.where("row <> comp")
     else:
-        named = docs.withColumn("_row", F.col("doc_id").cast("long"))
-    groups = jaccard_components(named.select(F.col("_row").alias("doc_id"), "text"), **settings)
-    gone = common.materialize(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_row")), "near-copies")
+        groups = common.materialize(groups, "groups").join(named.select(F.col(row).alias("row"), "doc_id"), "row")
+        stays = groups.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row"))["row"].alias("stays"))
+        gone = groups.join(stays, "comp").where("row <> stays")
+    gone = common.materialize(gone.select(F.col("row").alias(row)), "near-copies")
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return named.join(F.broadcast(gone) if few else gone, "_row", "left_anti").select(*docs.columns)
+    return named.join(_hint(gone, few), row, "left_anti").select(*docs.columns)
