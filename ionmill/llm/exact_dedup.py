@@ -102,12 +102,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     common.materialize(docs.select("doc_id", "text"), "dedup-input", path)
     verdict = common.materialize(exact_dedup(spark, path).select("doc_id", "kept", "text_sha256"), "dedup-verdict")
     common.drop_folder(spark, path)
-    key = [F.sha2(normalised().cast("binary"), 256).alias("_sha"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id")]
-    marked = docs.select("*", *key)
-    gone = verdict.where("not kept").select(F.col("text_sha256").alias("_sha"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id")).distinct()
+    sha, own = common.fresh(docs, "sha"), common.fresh(docs, "id")
+    marked = docs.withColumns({sha: F.sha2(normalised().cast("binary"), 256), own: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))})
+    gone = verdict.where("not kept").select(F.col("text_sha256").alias(sha), F.coalesce("doc_id", F.lit(-(1 << 63))).alias(own)).distinct()
     few = gone.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
-    left = marked.join(F.broadcast(gone) if few else gone, ["_sha", "_id"], "left_anti")
-    again = common.materialize(verdict.where("kept").groupBy("text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("text_sha256").alias("_sha")), "dedup-again")
+    left = marked.join(F.broadcast(gone) if few else gone, [sha, own], "left_anti")
+    again = common.materialize(verdict.where("kept").groupBy("text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("text_sha256").alias(sha)), "dedup-again")
     if not again.isEmpty():
-        left = left.join(again, "_sha", "left_anti").unionByName(left.join(again, "_sha", "left_semi").dropDuplicates(["_sha"]))
+        left = left.join(again, sha, "left_anti").unionByName(left.join(again, sha, "left_semi").dropDuplicates([sha]))
     return left.select(*docs.columns)
