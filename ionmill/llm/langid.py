@@ -6,24 +6,27 @@ would decide and the margin would shrink with the length; so each block has the
 prediction stands but the document is marked as rejected. Texts are lower-cased and everything but letters becomes one space, so that
 decoration says nothing.
 
-Fitting reads a bounded sample: per language the ``sample_docs`` labelled documents with the least hash of doc_id, the first
-``sample_chars`` normalised characters of each. Labels may be wrong, so each half of a language's sample is first judged with dictionaries of the
+Fitting reads a bounded sample of labelled rows: per language the ``sample_docs`` different rows with the least hash of (doc_id, text) among those of at most
+``sample_chars`` characters, each whole. Labels may be wrong, so each half of a language's sample is first judged with dictionaries of the
 other halves and what they put elsewhere is left out. Everything else covers all rows: prediction reads whole texts.
 
-Nulls and ties: null text, or text without a letter, is ``und`` with score 0 and rejected. Equal sizes are settled by the sum of sizes over
+Nulls and ties: null text, or text without a letter (digits, signs, fractions and superscripts are none), is ``und`` with score 0 and rejected. Equal sizes are settled by the sum of sizes over
 ``tie_levels``, then by language name. Without any labelled text every prediction is ``und``. Rows: one per input row; an empty table
 gives no rows.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_OTHER = re.compile(r"[\W\d_]+")
+from . import common
+
+_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}").search
 UNKNOWN = "und"
 #: Bytes of normalised text that are compressed at once.
 BLOCK = 1 << 16
@@ -56,7 +59,7 @@ class Compressors:
 
 
 class Model:
-    """Dictionaries per language. Small enough to travel with the tasks: languages x sample_docs x sample_chars."""
+    """Dictionaries per language. Small enough to travel with the tasks: languages x sample_docs texts of at most sample_chars characters."""
 
     def __init__(self, dictionaries: dict[str, bytes], level: int = 5, tie_levels: tuple[int, ...] = (1, 3, 9), reject_margin: float = 0.001):
         self.dictionaries, self.level, self.tie_levels, self.reject_margin = dictionaries, level, tie_levels, reject_margin
@@ -72,9 +75,10 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, rejected). Score: how much smaller the best size is than the second, as a share of what could be."""
-        data = normal(text or "").encode()
-        if not data or not self.dictionaries:
+        plain = normal(text or "")
+        if not _LETTER(plain) or not self.dictionaries:
             return UNKNOWN, 0.0, True
+        data = plain.encode("utf-8", "replace")
         sizes = self._at(self.level).sizes(data)
         if len(sizes) == 1:
             return next(iter(sizes)), 1.0, False
@@ -89,18 +93,17 @@ class Model:
         return order[0], gap, gap < self.reject_margin
 
 
-def fit(docs: DataFrame, sample_docs: int = 200, sample_chars: int = 2048, **settings) -> Model:
-    """Learn from (doc_id, text, lang); rows without lang or text are no use."""
-    usable = docs.where("lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    order = Window.partitionBy("lang").orderBy("draw", "doc_id")
-    chosen = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("draw")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample_docs).collect()
-    ids = [r.doc_id for r in chosen]
-    found = usable.where(F.col("doc_id").isin(ids)).select("lang", "doc_id", F.substring("text", 1, 4 * sample_chars).alias("text")).collect() if ids else []
-    place = {(r.lang, r.doc_id): r.place for r in chosen}
+def fit(docs: DataFrame, sample_docs: int = 120, sample_chars: int = 20_000, **settings) -> Model:
+    """Learn from (doc_id, text, lang); rows without lang or text are no use. The driver gets sample_docs rows per language."""
+    draw = F.xxhash64("doc_id", "text")
+    usable = docs.where((F.col("lang").isNotNull()) & (F.length("text") <= sample_chars)).select("lang", draw.alias("draw"), "text")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    chosen = usable.select("lang", "draw").distinct().withColumn("place", place).where(F.col("place") <= sample_docs)
+    found = usable.join(F.broadcast(chosen), ["lang", "draw"]).groupBy("lang", "place").agg(F.first("text").alias("text")).collect()
     sample: dict[str, list[bytes]] = {}
-    for r in sorted((r for r in found if (r.lang, r.doc_id) in place), key=lambda r: (r.lang, place[r.lang, r.doc_id], r.text)):
-        if text := normal(r.text)[:sample_chars]:
-            sample.setdefault(r.lang, []).append(text.encode())
+    for r in sorted(found, key=lambda r: (r.lang, r.place)):
+        if _LETTER(text := normal(r.text)):
+            sample.setdefault(r.lang, []).append(text.encode("utf-8", "replace"))
     level = settings.get("level", 5)
     halves = [Compressors({k: b" ".join(v[f::2]) for k, v in sample.items() if len(v) > f}, level) for f in (0, 1)]
     clean = {}
@@ -125,7 +128,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             lang, score, rejected = zip(*got, strict=True) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return common.map_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "text"), run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
@@ -139,4 +142,4 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([not model.predict(t.as_py())[2] for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.map_arrow(docs, run, docs.schema)
