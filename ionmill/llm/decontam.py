@@ -21,14 +21,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import tokens
+from . import common, tokens
 from .wordhash import Words, mix, window_hashes
 
 _SEPARATOR, _STOP = ".,", ".!?\n\r:;|。！？；：．｡؟۔।॥…"
@@ -133,9 +133,22 @@ class Index:
                 hashes.append(mix(window_hashes(x, int(self.lengths[k])) ^ np.uint64(self.lengths[k])))
                 owner.append(np.full(len(hashes[-1]), k))
                 place.append(np.arange(len(hashes[-1])))
-        flat = np.concatenate(hashes)
-        order = np.argsort(flat, kind="stable")
-        self.hashes, self.owner, self.place = flat[order], np.concatenate(owner)[order], np.concatenate(place)[order]
+        flat, owner, place = np.concatenate(hashes), np.concatenate(owner), np.concatenate(place)
+        order = np.lexsort((place, owner, flat))
+        self.hashes, self.owner, self.place = flat[order], owner[order], place[order]
+        #: Places of an item that repeat a window, by (item, first place); filled by fold().
+        self.again: dict[tuple[int, int], list[int]] = {}
+
+    def fold(self) -> Index:
+        """Keep the first place of a window that an item repeats, so that repeats in a text do not meet all of them; ``again`` has the places."""
+        new = np.ones(len(self.hashes), bool)
+        new[1:] = (self.hashes[1:] != self.hashes[:-1]) | (self.owner[1:] != self.owner[:-1])
+        heads = np.flatnonzero(new)
+        for a, b in zip(heads, [*heads[1:], len(new)], strict=True):
+            if b - a > 1:
+                self.again[int(self.owner[a]), int(self.place[a])] = self.place[a:b].tolist()
+        self.hashes, self.owner, self.place = self.hashes[new], self.owner[new], self.place[new]
+        return self
 
     def hits(self, codes: np.ndarray, first: np.ndarray) -> dict[int, dict[int, list[tuple[int, int]]]]:
         """(position in the text, position in the item) of equal windows, by text and item."""
@@ -166,7 +179,7 @@ class Block:
         self.slots = [{int(k - a): c.slot(k) for k in range(a, b) if c.kinds[k]} for a, b in spans]
         self.opens = [{int(k - a) for k in range(a, b) if c.kinds[k] == 4} for a, b in spans]
         self.least_plain = least_plain
-        self.literal = Index([c.words.hashes[a:b] for a, b in spans], window)
+        self.literal = Index([c.words.hashes[a:b] for a, b in spans], window).fold()
         varied = [bool(x) and size - len(x) + len(y) >= least_plain * size for x, y, size in zip(self.slots, self.opens, self.sizes, strict=True)]
         self.template = Index([c.codes[a:b] if v else c.codes[:0] for (a, b), v in zip(spans, varied, strict=True)], window)
 
@@ -186,7 +199,8 @@ def copied(block: Block, item: int, pairs: list[tuple[int, int]], coverage: floa
     """("verbatim", covered, position, slots) of the best alignment of literal windows."""
     length, best = int(block.literal.lengths[item]), None
     for run in runs(pairs):
-        places = {q for _, q in run}
+        met = Counter(q for _, q in run)
+        places = {p for q, n in met.items() for p in block.literal.again.get((item, q), (q,))[:n]}  # a repeated window counts as often as it is met
         covered = len({q + k for q in places for k in range(length)}) / int(block.sizes[item])
         if covered >= coverage and (best is None or covered > best[1]):
             best = ("verbatim", covered, min(d for d, _ in run), len({v for k, v in block.slots[item].items() if k not in block.opens[item] and any(k - x in places for x in range(length))}))
@@ -249,7 +263,7 @@ def blocks(benchmark: DataFrame, window: int, least_plain: float, block_windows:
     n = 0
     for r in benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():
         held.append((r.item_id, r.text))
-        n += r.text.count(" ") + 1 if r.text.isascii() else len(Runes([r.text]).starts)
+        n += len(Runes([r.text]).starts)
         if n >= block_windows:
             yield Block(held, window, least_plain)
             held, n = [], 0
@@ -292,7 +306,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage: fl
                 cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in MATCH.split(", ")])
 
-        got = narrow.mapInArrow(run, MATCH)
+        got = common.map_arrow(narrow, run, MATCH)
         out = got if out is None else out.unionByName(got)
     return out if out is not None else spark.createDataFrame([], MATCH)
 
@@ -312,5 +326,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage: floa
                 bad = _judged(texts, held.value, coverage)
                 yield batch.filter(pa.array([k not in bad for k in range(len(texts))], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = common.map_arrow(out, run, docs.schema)
     return out
