@@ -10,7 +10,7 @@ find their response through WARC-Refers-To. Payload length and digest are recomp
 
 Nulls and ties: null html is an empty payload, a null url an empty target; a null page_id is below every other. Rows equal in
 page_id, url and html have equal records and come back as often as they went in; if they hold the largest page_id they are all
-responses. A revisit refers to the response with the largest page_id, and of several by the largest url. An empty table makes no archive
+responses. Line ends in a url are escaped in headers. A revisit refers to the response with the largest page_id, and of several by the largest url. An empty table makes no archive
 and no rows. Other columns are ignored.
 """
 
@@ -48,9 +48,14 @@ def member(fields: list[tuple[str, str]], block: bytes, level: int = 1) -> bytes
     return z.compress("\r\n".join(lines).encode()) + z.compress(block) + z.compress(b"\r\n\r\n") + z.flush()
 
 
+def _line(url: str | None) -> str:
+    """A URL as a header value: it may not end the header."""
+    return (url or "").replace("\r", "%0D").replace("\n", "%0A")
+
+
 def transaction(page_id: int | None, url: str, payload: bytes, refers: str | None, refers_url: str | None, date: str) -> bytes:
     """The three records of a capture. refers: the record whose payload this one repeats."""
-    digest, line = payload_digest(payload), (url or "").replace("\r", "%0D").replace("\n", "%0A")
+    digest, line = payload_digest(payload), _line(url)
     own = capture_id(page_id, url, digest)
     host = line.partition("://")[2].partition("/")[0]
     path = "/" + line.partition("://")[2].partition("/")[2].partition("#")[0]
@@ -60,7 +65,7 @@ def transaction(page_id: int | None, url: str, payload: bytes, refers: str | Non
     if refers is None:
         main = member([("WARC-Type", "response"), ("WARC-Record-ID", own), *common_fields, *digest_field, ("Content-Type", "application/http;msgtype=response")], http + payload)
     else:
-        again = [("WARC-Refers-To", refers), ("WARC-Refers-To-Target-URI", refers_url), ("WARC-Profile", _PROFILE)]
+        again = [("WARC-Refers-To", refers), ("WARC-Refers-To-Target-URI", _line(refers_url)), ("WARC-Profile", _PROFILE)]
         main = member([("WARC-Type", "revisit"), ("WARC-Record-ID", own), *common_fields, *digest_field, *again, ("Content-Type", "application/http;msgtype=response")], http)
     other = [*common_fields, ("WARC-Concurrent-To", own)]
     ask = member([("WARC-Type", "request"), ("WARC-Record-ID", own.replace("uuid:", "uuid:1")), *other, ("Content-Type", "application/http;msgtype=request")], f"GET {path} HTTP/1.1\r\nHost: {host}\r\n\r\n".encode())
@@ -128,6 +133,18 @@ def record_row(fields: dict[str, str], block: bytes, with_payload: bool) -> dict
     return row
 
 
+#: Rows of a narrow side that may be broadcast, a few hundred bytes each; above it the join is shuffled with SALTS copies.
+BROADCAST_ROWS, SALTS = 50_000, 16
+
+
+def salted_join(rows: DataFrame, few: DataFrame, key: str, spread: str) -> DataFrame:
+    """Left join of wide rows with a table unique in ``key``; a key that many rows share is spread by the column ``spread``."""
+    if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(few), key, "left")
+    salt = common.fresh(rows, "salt")
+    return rows.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(SALTS))).join(few.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [key, salt], "left").drop(salt)
+
+
 def write_archives(pages: DataFrame, path: str, *, min_revisit_bytes: int = 0, file_bytes: int = 8_000_000, date: str = "1970-01-01T00:00:00Z") -> int:
     """Write ``pages`` (page_id, url, html) under ``path``; the number of archives."""
 
@@ -152,9 +169,13 @@ def write_archives(pages: DataFrame, path: str, *, min_revisit_bytes: int = 0, f
         yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int32())})
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    keep = rows.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("keep"))
-    joined = rows.join(keep, "digest").select("page_id", "url", "html", F.col("keep.page_id").alias("keep_id"), F.col("keep.url").alias("keep_url"))
-    return joined.mapInArrow(write, "files int").agg(F.sum("files")).first()[0] or 0
+    keep = rows.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    keep = common.materialize(keep.select("digest", "keep"), "warc-keep")
+    joined = salted_join(rows, keep, "digest", "url").select("page_id", "url", "html", F.coalesce("keep.page_id", "page_id").alias("keep_id"), F.coalesce("keep.url", "url").alias("keep_url"))
+    ordered = joined.sortWithinPartitions("page_id", "url", F.xxhash64("html"))  # a task that runs again writes the same files
+    files = common.map_arrow(ordered, write, "files int").agg(F.sum("files")).first()[0] or 0
+    common.drop_table(keep)
+    return files
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
@@ -177,7 +198,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("content").mapInArrow(read, RECORD)
+    return common.map_arrow(spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("content"), read, RECORD)
 
 
 def assemble(found: DataFrame) -> DataFrame:
@@ -185,10 +206,15 @@ def assemble(found: DataFrame) -> DataFrame:
     inner = [c for c in found.columns if c != "payload"]
     row = F.struct(*inner, "payload")
     of = lambda *kinds: F.max(F.when(F.col("type").isin(*kinds), row))
-    joined = found.groupBy(F.coalesce("concurrent_to", "record_id").alias("record_id")).agg(
+    keyed = found.withColumn("capture_id", F.coalesce("concurrent_to", "record_id"))
+    joined = keyed.groupBy(F.col("capture_id").alias("record_id")).agg(
         of("response", "revisit").alias("capture"), of("request").alias("request"), of("metadata").alias("metadata"),
         F.sum(F.col("type").isin("response", "revisit").cast("int")).alias("copies"),
     ).where("capture is not null")
     each = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).withColumn("page_id", F.col("metadata.page_id")).withColumn("target", F.col("capture.refers_to"))
-    origin = joined.where("capture.type = 'response'").select(F.col("record_id").alias("target"), F.col("metadata.page_id").alias("refers_to"))
-    return each.join(origin, "target", "left").select("record_id", "page_id", "capture", "request", "metadata", "refers_to")
+    narrow = common.materialize(found.where("type in ('revisit', 'metadata')").select("type", "concurrent_to", "refers_to", "page_id"), "warc-notes")
+    targets = narrow.where("refers_to is not null").select(F.col("refers_to").alias("target")).distinct()
+    notes = narrow.where("type = 'metadata'").select(F.col("concurrent_to").alias("target"), F.col("page_id").alias("refers_to"))
+    origin = common.materialize(notes.join(targets, "target", "left_semi").groupBy("target").agg(F.max("refers_to").alias("refers_to")), "warc-origin")
+    common.drop_table(narrow)
+    return salted_join(each, origin, "target", "record_id").select("record_id", "page_id", "capture", "request", "metadata", "refers_to")
