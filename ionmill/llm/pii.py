@@ -4,7 +4,7 @@ Base kinds (email, ip, card, phone) follow fixed patterns, leftmost and without
 the text it covers is not tried again. Every start that the patterns could try in vain is skipped by look-behind or by starting at the one sign
 a match must hold (@, +), so a run of a million digits or letters takes linear time.
 
-The method adds two kinds: ``iban`` (country, two check digits, 11 to 30 letters and digits, mod-97 equal to 1) and ``ssn`` (three, two and
+The method adds two kinds: ``iban`` (country, two check digits, as many letters and digits as the country's numbers have, mod-97 equal to 1) and ``ssn`` (three, two and
 four digits, no all-zero part). Each span has a score: a confirmed checksum starts high, a bare pattern low; a context word within
 ``window`` characters before the span raises it, a word that speaks against it lowers it. Additions below ``least`` go; base spans stay at any score.
 
@@ -20,6 +20,8 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
+from . import common
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
 
@@ -29,7 +31,11 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Characters of an account number by country.
+_IBAN_LENGTHS = """AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28
+HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24
+RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20""".split()
+_IBAN = re.compile(r"(?<![A-Za-z0-9])(?:" + "|".join(f"{x[:2]}[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{int(x[2:]) - 4}}}" for x in _IBAN_LENGTHS) + r")(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 
 #: Context words and what they add to a score.
@@ -153,5 +159,5 @@ def detect(docs: DataFrame, window: int = 40, least: float = 0.5) -> DataFrame:
             found = [[s._asdict() for s in find(t.as_py(), window, least)] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["doc_id", "found"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, found array<struct<kind:string,start:long,end:long,score:double>>")
+    return common.map_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "text"), run, "doc_id long, found array<struct<kind:string,start:long,end:long,score:double>>")
 
