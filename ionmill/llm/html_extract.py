@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
+from . import common
 from .boosting import BoostedTrees
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>""", re.S)
@@ -88,9 +89,11 @@ def parse(page: str) -> tuple[Node, list[Node], list[tuple[Node, str]]]:
         return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
 
     at = 0
-    search = _MARKUP.search
+    search, last_end = _MARKUP.search, page.rfind(">") + 1  # beyond the last end of a tag there is only text, or an open comment
+    if "<!--" in page[last_end:]:
+        last_end = len(page)
     while True:
-        m = search(page, at)
+        m = search(page, at, last_end)
         stop = m.start() if m else len(page)
         if stop > at and hidden == ["head"] and not page[at:stop].isspace():
             hidden.clear()
@@ -175,6 +178,15 @@ def features(root: Node, nodes: list[Node], order: list[tuple[Node, str]]) -> np
         n.total_links = n.links + sum(k.total_links for k in n.kids)
         n.tags = 1 + sum(k.tags for k in n.kids)
     whole = max(1, root.total)
+    around: dict[int, tuple] = {}  # of a parent's children: greatest, sum and link sum; by tag: number and sum
+    for n in nodes:
+        if n.kids:
+            by_tag: dict[str, list[int]] = {}
+            for k in n.kids:
+                own = by_tag.setdefault(k.tag, [0, 0])
+                own[0] += 1
+                own[1] += k.total
+            around[id(n)] = (max(k.total for k in n.kids), sum(k.total for k in n.kids), sum(k.total_links for k in n.kids), by_tag)
     out = np.zeros((len(nodes), N_FEATURES))
     state: dict[int, tuple] = {}
     log, g = math.log1p, len(GROUPS)
@@ -190,16 +202,15 @@ def features(root: Node, nodes: list[Node], order: list[tuple[Node, str]]) -> np
             row[group] = 1
         row[g:g + 6] = mine
         own = " ".join(texts.get(id(n), ()))
-        sibs = n.parent.kids if n.parent else (n,)
-        same = [s for s in sibs if s.tag == n.tag]
-        biggest = max(s.total for s in sibs)
+        biggest, all_total, all_links, by_tag = around[id(n.parent)] if n.parent else (n.total, n.total, n.total_links, {n.tag: (1, n.total)})
+        n_sibs, (n_same, same_total) = len(n.parent.kids) if n.parent else 1, by_tag[n.tag]
         up_total = n.parent.total if n.parent else whole
         words = own.count(" ") + 1 if own else 0
         row[g + 6:] = (
             good, bad, n.depth, k / len(nodes), log(n.chars), n.links / max(1, n.chars), log(n.total), n.total_links / max(1, n.total),
             n.tags / (1 + n.total) * 100, len(n.kids), log(words), n.chars / max(1, words), sum(map(own.count, ".!?")), sum(map(own.count, ",;")), own[:1] == "©",
-            n.total / whole, n.total / max(1, up_total), len(sibs), len(same), n.total / max(1, biggest), log(sum(s.total for s in same) / len(same)),
-            sum(s.total_links for s in sibs) / max(1, sum(s.total for s in sibs)), int(n.tag[1:]) if group == 7 else 0, any("©" in t for t in texts.get(id(n), ())),
+            n.total / whole, n.total / max(1, up_total), n_sibs, n_same, n.total / max(1, biggest), log(same_total / n_same),
+            all_links / max(1, all_total), int(n.tag[1:]) if group == 7 else 0, any("©" in t for t in texts.get(id(n), ())),
         )
     return out
 
@@ -371,4 +382,4 @@ def extract(pages: DataFrame, extractor: Extractor) -> DataFrame:
                 texts = ["\n".join(b) for b in held.value.blocks(part.column(2).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.selectExpr("cast(page_id as long) page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return common.map_arrow(pages.selectExpr("cast(page_id as long) page_id", "url", "html"), run, "page_id long, url string, text string, n_chars long")
