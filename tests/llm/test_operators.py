@@ -54,12 +54,19 @@ def empty(docs):
 
 
 @pytest.mark.parametrize(("name", "space_free"), [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
-def test_encoder_is_the_library(name, space_free):
-    e, r = tokens.TextEncoder(P.path(name), space_free, cache_size=300), random.Random(2)
-    parts = [" ", "  ", "\n", "\t", "\r", "a", "The", "1", "23", "!", "'s", "'", "\x0b", "\x1c", "́", "e", "Σ", "ß", "İ", "É", "²", "<|endoftext|>", "　", "中", "😀", "\x85", "\xa0"]
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_encoder_is_the_library(name, space_free, special_as_text):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(P.path(name))  # untouched, but for the flag that is tested
+    if special_as_text:
+        lib.encode_special_tokens = True
+    e, r = tokens.TextEncoder(P.path(name), space_free, cache_bytes=30_000, special_as_text=special_as_text), random.Random(2)
+    parts = [" ", "  ", "\n", "\t", "\r", "a", "The", "1", "23", "!", "'s", "'", "\x0b", "\x1c", "́", "e", "Σ", "ß", "İ", "É", "²", "<|endoftext|>", "<|ENDOFTEXT|>", "<|endof", "　", "中", "😀", "\x85", "\xa0"]
     for _ in range(30):
         texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(100)]
-        assert e.encode(texts) == e.library(texts)
+        assert e.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in lib.encode_batch(texts, add_special_tokens=False)]
+        assert e.held <= 30_000 and len(e.old) <= 150
 
 
 def test_token_files(spark, docs, empty, tmp_path):
