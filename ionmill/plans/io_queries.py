@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chemistry, features, isotopes, matching, scores
 from ..sources import sinks, spectra
 from . import views
-from .lineage import shared_folder
 from .queries import QUERIES, ROW, SIDE, TOL, register, rounded, with_
 
 
@@ -53,26 +50,6 @@ def break_atom_pair(spark: SparkSession, d: str) -> DataFrame:
     return features.feature_vector(_breaks(spark, d), ["BreakAtomPair"]).select("id", "features", "feature_len")
 
 
-@register("graph_text")
-def graph_text(spark: SparkSession, d: str) -> DataFrame:
-    f = views.fragments(spark, d).withColumn("ion_smiles", F.lit("C"))
-    t = views.transitions(spark, d).withColumn("nl_smiles", F.lit("O"))
-    return sinks.graph_text(f, t)
-
-
-@register("msp_roundtrip")
-def msp_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Measured peaks written as a library and read again."""
-    path = f"{shared_folder(spark)}/ionmill-msp-{uuid.uuid4().hex}"
-    sinks.msp_records(views.peaks(spark, d).where("source = 'measured'").drop("source")).select("value").write.text(path)
-    return spectra.msp(spark, path)
-
-
-@register("mgf_records")
-def mgf_records(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.mgf_records(views.peaks(spark, d).where("source = 'measured'").drop("source"), F.lit(500.0))
-
-
 @register("matched_scatter")
 def matched_scatter(spark: SparkSession, d: str) -> DataFrame:
     return sinks.scatter_text(matching.match(*scores.sides(views.peaks(spark, d), SIDE), SIDE, 0.0, TOL))

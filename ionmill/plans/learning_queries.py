@@ -227,9 +227,9 @@ GRAD = with_("doc_features", extra=THETA + ", gr AS (SELECT param.idx, any_value
 register("sgd_step", GRAD + "SELECT idx, round(w + 2 * 0.001 * g, 4) AS weight FROM gr")(_stepped(0))
 register("momentum_step", GRAD + "SELECT idx, round(w + 0.001 * g * 2.9, 4) AS weight FROM gr")(_stepped(1))
 register("adam_step", GRAD + "SELECT idx, round(w + 0.001 * 2 * CASE WHEN g = 0 THEN 0 ELSE g / (abs(g) + 1e-8) END, 4) AS weight FROM gr")(_stepped(2))
-register("adadelta_step")(_stepped(3))
-register("adamw_step")(_stepped(4))
-register("adabelief_step")(_stepped(5))
+register("adadelta_step", GRAD + "SELECT idx, round(w + m1 + sqrt(0.05 * m1 * m1 + 1e-8) / sqrt(0.0975 * g * g + 1e-8) * g, 4) AS weight FROM (SELECT *, sqrt(1e-8) / sqrt(0.05 * g * g + 1e-8) * g AS m1 FROM gr)")(_stepped(3))
+register("adamw_step", GRAD + "SELECT idx, round((w * keep + m) * keep + m, 4) AS weight FROM (SELECT *, CASE WHEN idx = 0 THEN 1 - 0.001 * 0.01 ELSE 1 END AS keep, 0.001 * CASE WHEN g = 0 THEN 0 ELSE g / (abs(g) + 1e-8) END AS m FROM gr)")(_stepped(4))
+register("adabelief_step", GRAD + "SELECT idx, round(w + 0.001 * 0.1 * g / (sqrt(v1 / (1 - 0.999)) + 1e-8) + 0.001 * 0.19 * g / (sqrt((0.999 * v1 + 0.001 * 0.6561 * g * g + 1e-8) / (1 - 0.999 * 0.999)) + 1e-8), 4) AS weight FROM (SELECT *, 0.001 * 0.81 * g * g + 1e-8 AS v1 FROM gr)")(_stepped(5))
 
 
 def _network() -> learning.Network:

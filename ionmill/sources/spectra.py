@@ -14,9 +14,13 @@ def peak_list(spark: SparkSession, path: str, source: str = "measured") -> DataF
     Reading stops at the first line shorter than two characters; # lines are skipped; a line that starts with low, med, high or energy begins the
     next spectrum; only lines of two plain numbers are peaks.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", r"\r?\n").alias("lines"))
-    name = F.regexp_replace(F.regexp_extract("file", r"([^/]*)$", 1), r"\.[^.]*$", "")
-    lines = files.select(name.alias("spectrum_id"), F.posexplode("lines").alias("pos", "line"))
+    name = F.regexp_replace(F.regexp_extract(F.input_file_name(), r"([^/]*)$", 1), r"\.[^.]*$", "")
+    return peak_sections(spark.read.text(path, wholetext=True).select(name.alias("spectrum_id"), "value"), source)
+
+
+def peak_sections(files: DataFrame, source: str = "measured") -> DataFrame:
+    """S1 of texts that are there already: (spectrum_id, value)."""
+    lines = files.select("spectrum_id", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
     file = Window.partitionBy("spectrum_id")
     end = F.min(F.when(F.length("line") < 2, F.col("pos"))).over(file)
     head = F.col("line").rlike("^(low|med|high|energy)")
@@ -71,3 +75,9 @@ def predict_list(spark: SparkSession, path: str) -> DataFrame:
 def precomputed_list(spark: SparkSession, path: str) -> DataFrame:
     """cand_id, structure, spectrum_ref; libraries named many times are joined once each."""
     return _words(spark, path).where(F.size("w") >= 3).select(F.col("w")[0].alias("cand_id"), F.col("w")[1].alias("structure"), F.col("w")[2].alias("spectrum_ref"))
+
+
+def candidate_spectra(candidates: DataFrame, library: DataFrame) -> DataFrame:
+    """The peaks of each candidate whose spectrum_ref is ``library:record``; library: lib, spectrum_id, energy, mass, intensity. An equi join, so each library is read once."""
+    named = candidates.select("cand_id", "structure", F.substring_index("spectrum_ref", ":", 1).alias("lib"), F.substring_index("spectrum_ref", ":", -1).alias("_record"))
+    return named.join(library, (named["lib"] == library["lib"]) & (named["_record"] == library["spectrum_id"].cast("string"))).select("cand_id", "structure", named["lib"], "spectrum_id", "energy", "mass", "intensity")

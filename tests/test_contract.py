@@ -10,7 +10,7 @@ from ionmill.plans import queries as base
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="needs the supplied tables")
-SAMPLE = ["spectrum_normalize", "spectrum_postprocess", "spectrum_clean", "band_join_ppm", "band_semi_explained", "match_full_outer", "score_all_wide", "rank_topn", "redundant_prune", "beliefs_norm", "gradient_linear", "adam_step"]
+SAMPLE = ["spectrum_normalize", "spectrum_postprocess", "spectrum_clean", "band_join_ppm", "band_semi_explained", "match_full_outer", "score_all_wide", "rank_topn", "redundant_prune", "beliefs_norm", "gradient_linear", "adam_step", "adadelta_step", "adamw_step", "adabelief_step", "root_paths", "root_matrix", "root_matrix_simple", "root_matrix_more_symbols", "root_generalized", "training_list", "predict_list", "precomputed_list", "candidate_spectra", "fragment_text", "score_report", "peak_text", "mgf_records", "msp_roundtrip", "graph_text", "peak_list_sections"]
 
 
 def test_names():
