@@ -22,6 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null, empty or letterless text is rejected; a null doc_id is judged like any other; repeated rows share their fate; texts are read whole.
     """
+    common.slim(spark)
     return langid.keep_identified(docs, langid.fit(docs.where(~langid.held_out(F.col("doc_id")))))
 
 
@@ -30,6 +31,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are equal; a null doc_id stays only in a group of nulls; of rows that repeat the id that stays, one stays.
     """
+    common.slim(spark)
     return exact_dedup.keep_one(docs)
 
 
@@ -38,6 +40,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null, empty and wordless texts are in no group and stay; null doc_ids come last; of rows that share an id and a group, one stays.
     """
+    common.slim(spark)
     return jaccard_join.keep_one(docs)
 
 
@@ -46,6 +49,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A null or empty text holds none, a null item is held by none; repeated rows share their fate.
     """
+    common.slim(spark)
     return decontam.clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
@@ -54,6 +58,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text is its end id; repeated rows and null doc_ids are packed like others; a text longer than a sequence is cut into pieces.
     """
+    common.slim(spark)
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"), capacity=2048, end_id=0, cache_bytes=48 << 20)
 
 
@@ -70,6 +75,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = common.materialize(stage(spark, docs, sf_dir), name, path)
         if last:
             common.drop_folder(spark, last)
-        common.release(spark)
         last = path
     return docs
