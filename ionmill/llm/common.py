@@ -105,6 +105,13 @@ def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     return df.mapInArrow(whole, schema)
 
 
+def slim(spark: SparkSession) -> None:
+    """Let the executors collect garbage, too: their heaps shrink and leave memory to the Python workers of what comes next."""
+    release(spark)
+    tasks = spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def file_system(uri: str):
     """(pyarrow file system, path) of a URI, for use on executors."""
     from pyarrow import fs
