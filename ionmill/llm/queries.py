@@ -50,15 +50,19 @@ p AS (SELECT page_id, url, html,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
     regexp_extract(url, '(?s)^.*?://[^?#]*(\?[^#]*)', 1) AS query FROM pages),
 n AS (SELECT *, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || query END AS node FROM p),
-tags AS (SELECT node, host, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM n WHERE node IS NOT NULL),
-t AS (SELECT node, CASE WHEN regexp_matches(tag, '(?i)^<link') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1) ELSE regexp_extract(tag, '(?is)url\s*=\s*["'']?\s*([^"''\s>]+)', 1) END AS target
+tags AS (SELECT node, host, path, url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM n WHERE node IS NOT NULL),
+hrefs AS (SELECT node, host, path, url, replace(CASE WHEN regexp_matches(tag, '(?i)^<link') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1) ELSE regexp_extract(tag, '(?is)url\s*=\s*["'']?\s*([^"''\s>]+)', 1) END, '&amp;', '&') AS href
     FROM tags WHERE regexp_matches(tag, '(?is)\brel\s*=\s*["'']?[^"''>]*\bcanonical\b|http-equiv\s*=\s*["'']?\s*refresh')),
+joined AS (SELECT *, 'http://' || host AS base, CASE WHEN starts_with(href, '/') THEN '' WHEN path = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || regexp_extract(href, '(?s)^([^?#]*)', 1) AS whole FROM hrefs WHERE href <> ''),
+dots AS (SELECT *, CASE WHEN contains(whole, '/.') THEN list_reduce(list_prepend([''], list_transform(string_split(whole, '/')[2:], lambda x: [x])), lambda done, x: CASE WHEN x[1] = '..' THEN done[:greatest(len(done) - 1, 1)] WHEN x[1] = '.' THEN done ELSE list_concat(done, x) END) END AS kept FROM joined),
+t AS (SELECT node, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href WHEN starts_with(href, '//') THEN 'http:' || href WHEN starts_with(href, '#') THEN url WHEN starts_with(href, '?') THEN base || CASE WHEN path = '' THEN '/' ELSE path END || href
+    ELSE base || CASE WHEN kept IS NULL THEN whole ELSE CASE WHEN len(kept) = 1 THEN '/' ELSE array_to_string(kept, '/') || CASE WHEN regexp_matches(whole, '/\.\.?$') THEN '/' ELSE '' END END END || regexp_extract(href, '(?s)^[^?#]*(.*)$', 1) END AS target FROM dots),
 e0 AS (SELECT node AS u, translate(regexp_extract(target, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS vh,
     regexp_extract(target, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS vp, regexp_extract(target, '(?s)^.*?://[^?#]*(\?[^#]*)', 1) AS vq FROM t WHERE target LIKE '%://%'),
 e1 AS (SELECT DISTINCT u, vh || CASE WHEN vp = '' THEN '/' ELSE vp END || vq AS v, vh, vp FROM e0 WHERE vh <> ''),
 names AS (SELECT node, host AS h, path AS q FROM n WHERE node IS NOT NULL UNION SELECT v, vh, vp FROM e1),
 own AS (SELECT node, arg_max(v, length(rules.h || p)) AS verdict FROM names JOIN rules ON (names.h = rules.h OR ends_with(names.h, '.' || rules.h)) AND starts_with(q, p) GROUP BY node),
-pairs AS (SELECT u, v FROM e1 UNION SELECT v, u FROM e1),
+pairs AS (SELECT u, v FROM e1 WHERE u <> v UNION SELECT v, u FROM e1 WHERE u <> v),
 bad(node) AS (SELECT node FROM own WHERE verdict = 'block' UNION SELECT pairs.v FROM bad JOIN pairs ON pairs.u = bad.node),
 reach(node, root) AS (SELECT u, u FROM pairs UNION SELECT pairs.v, root FROM reach JOIN pairs ON pairs.u = reach.node),
 comp AS (SELECT node, min(root) AS component FROM reach GROUP BY node),

@@ -64,6 +64,15 @@ def with_rule(df: DataFrame, rules: Sequence[Rule], host: str = "host", path: st
     return df.join(best, [host, path], "left")
 
 
+def without_dots(path: Column) -> Column:
+    """A path with its . and .. segments carried out; a path that ends in one names a folder."""
+    parts = F.split(path, "/", -1)
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).when(x == ".", done).otherwise(F.concat(done, F.array(x))))
+    whole = F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), "/").otherwise(""))
+    return F.when(path.contains("/."), F.when(whole.startswith("/"), whole).otherwise(F.concat(F.lit("/"), whole))).otherwise(path)
+
+
 def html_links(pages: DataFrame) -> DataFrame:
     """(source, target) URLs of canonical and refresh links."""
     tags = F.filter(F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0)), lambda t: F.lower(t).rlike(r"(?s)\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b|http-equiv\s*=\s*[\"']?\s*refresh"))
@@ -74,11 +83,14 @@ def html_links(pages: DataFrame) -> DataFrame:
     ).otherwise(F.regexp_extract("tag", r"(?is)url\s*=\s*[\"']?\s*([^\"'\s>]+)", 1))
     to = tag.select("source", F.regexp_replace(href, "&amp;", "&").alias("to")).where("to <> ''")
     base, source = F.concat(F.lit("http://"), host_of(F.col("source"))), path_of(F.col("source"))
+    folder = F.when(source == "", "/").otherwise(F.regexp_replace(source, "[^/]*$", ""))
+    tail = F.regexp_extract("to", r"(?s)^[^?#]*(.*)$", 1)
     target = (
         F.when(F.col("to").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("to"))
         .when(F.col("to").startswith("//"), F.concat(F.lit("http:"), F.col("to")))
-        .when(F.col("to").startswith("/"), F.concat(base, F.col("to")))
-        .otherwise(F.concat(base, F.when(source == "", "/").otherwise(F.regexp_replace(source, "[^/]*$", "")), F.col("to")))
+        .when(F.col("to").startswith("#"), F.col("source"))
+        .when(F.col("to").startswith("?"), F.concat(base, F.when(source == "", "/").otherwise(source), F.col("to")))
+        .otherwise(F.concat(base, without_dots(F.concat(F.when(F.col("to").startswith("/"), "").otherwise(folder), F.regexp_extract("to", r"(?s)^([^?#]*)", 1))), tail))
     )
     return to.select("source", target.alias("target"))
 

@@ -162,6 +162,31 @@ def test_urls(spark):
     assert url_filter.judge(df.limit(0), queries.URL_RULES).count() == 0
 
 
+LINKED = [("http://a.org/x/y", "z"), ("http://a.org/x/z", "../w"), ("http://a.org/w", "./v/../u?q=1&amp;r=2"), ("http://a.org/u?q=1&r=2", "//Bad.net/es/1"), ("http://c.org/p", "?q"), ("http://c.org/p?q", "http://x.example.com/en/1"), ("http://d.org/a", "#f"), ("http://e.org", "/.."), ("http://e.org/", "../../k/."), ("http://e.org/k/", "http://Q.net/fr/"), ("http://f.org/a/b", "/k/./l/../m"), ("http://f.org/k/m", None), ("http://g.org/1", "http://f.org/k/m"), ("http://h.com/1", "http://q.net/fr/"), ("http://i.org/a/", ".."), ("http://i.org/", "")]
+
+
+def test_urls_with_links_like_sql(spark, tmp_path):
+    import duckdb
+
+    d = "file://" + str(tmp_path)
+    rows = [(k, u, None if to is None else f"<head><link rel='canonical' href='{to}'>x") for k, (u, to) in enumerate(LINKED)] + [(99, None, "<link rel=canonical href=/z>"), (98, "http://a.org/x/y", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{d}/pages.parquet")
+    got = queries.QUERIES["op3_url_filter"](spark, d).select("component", "host", "page_id", "path", "rule", "verdict").collect()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(f"SELECT component, host, page_id, path, rule, verdict FROM ({queries.ORACLES['op3_url_filter']})").fetchall()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    verdict = {r.page_id: r.verdict for r in got}
+    assert [k for k, v in sorted(verdict.items()) if v == "block"] == [0, 1, 2, 3, 4, 5, 7, 8, 9, 98]
+
+
+def test_html_of_any_size():
+    wide = "<ul>" + "<li>word here</li>" * 30_000 + "</ul>"  # quadratic features took minutes
+    root, nodes, order = html_extract.parse(wide)
+    assert len(nodes) == 30_002 and html_extract.features(root, nodes, order).shape[0] == len(nodes)
+    assert len(html_extract.parse("<p" * 200_000)[1]) == 1
+
+
 def test_html(spark):
     x, y = html_extract.training_set(60, 90_000)
     ex = html_extract.fit(250)
@@ -198,7 +223,7 @@ def test_language(spark, empty):
     r = random.Random(5)
     stems = {"aa": ["bal", "tor", "min", "ke"], "bb": ["schu", "ung", "ver", "lich"], "cc": ["ción", "ado", "que", "ñar"]}
     say = lambda lang, n: " ".join("".join(r.choice(stems[lang]) for _ in range(r.randint(1, 3))) for _ in range(n))
-    rows = [(k, say(lang := r.choice(list(stems)), 60), lang) for k in range(240)] + [(300, None, "aa"), (301, "12 !", "aa"), (302, "", None), (303, say("bb", 60), None)]
+    rows = [(k, say(lang := r.choice(list(stems)), 60), lang) for k in range(240)] + [(300, None, "aa"), (301, "12 ! ² ½", "aa"), (302, "", None), (303, say("bb", 60), None)]
     df = spark.createDataFrame([(*x, 1.0) for x in rows], "doc_id long, text string, lang string, score double")
     model = langid.fit(df.where(~langid.held_out(F.col("doc_id"))), sample_docs=30)
     got = {x.doc_id: x for x in langid.predict(df, model).collect()}
@@ -253,6 +278,24 @@ def test_jaccard(docs, settings):
     assert Counter(tuple(r) for r in got.collect()) == jaccard_brute(corpus())
 
 
+def test_jaccard_keeps_the_smallest_id(spark):
+    base = " ".join(WORDS[:40])
+    rows = [(9, base, "a"), (3, base + " more", "b"), (5, base + " other", "c"), (None, base + " again", "d"), (7, "quite another text of six words", "e"), (7, "quite another text of six words", "f"), (None, "", "g")]
+    for _ in range(2):
+        df = spark.createDataFrame(rows, "doc_id long, text string, _row string").repartition(3)
+        kept = jaccard_join.keep_one(df)
+        assert kept.columns == df.columns and sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, ""), (3, base + " more"), (7, "quite another text of six words")]
+        rows = [r for r in rows if r[0] is not None and r[2] != "f"] + [(0, "", "g")]  # unique ids now
+
+
+def test_open_lists_are_dealt_over_cells(spark, monkeypatch, docs):
+    monkeypatch.setattr(jaccard_join, "CELL", 2)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_PAIRS", 0)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_PIVOTS", 0)
+    got = jaccard_join.jaccard_components(docs, star_rounds=0).select("doc_id", "n_shingles", "component_id")
+    assert Counter(tuple(r) for r in got.collect()) == jaccard_brute(corpus())
+
+
 def test_jaccard_empty_and_filter(docs, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
     kept = jaccard_join.keep_one(docs)
@@ -300,6 +343,24 @@ def test_warc(spark, tmp_path):
         assert all(r.request and r.metadata for r in got)
     path = "file://" + str(tmp_path / "none")
     assert warc.write_archives(df.limit(0), path) == 0
+    evil = spark.createDataFrame([(k, f"http://a/\r\nWARC-Type: response\r\n\r\n{k}", "same") for k in range(5)], "page_id long, url string, html string")
+    path = "file://" + str(tmp_path / "evil")
+    warc.write_archives(evil, path)
+    assert sorted((r.page_id, r.capture.type, r.refers_to) for r in warc.assemble(warc.read_records(spark, path)).collect()) == [(k, "revisit", 4) for k in range(4)] + [(4, "response", None)]
+
+
+def test_warc_of_a_hot_payload(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)  # the way beyond the bound
+    df = spark.range(300).selectExpr("id page_id", "concat('http://a/', id) url", "if(id % 3 = 0, 'hot', concat('x', id % 50)) html")
+    path = "file://" + str(tmp_path / "hot")
+    warc.write_archives(df, path)
+    got = warc.assemble(warc.read_records(spark, path)).collect()
+    html = {k: "hot" if k % 3 == 0 else f"x{k % 50}" for k in range(300)}
+    last = {h: k for k, h in html.items()}
+    assert sorted((r.page_id, r.refers_to) for r in got) == sorted((k, last[h] if last[h] != k else None) for k, h in html.items())
+
+
+def test_warc_cut_short(spark):
     data = b"".join(warc.transaction(1, "u", b"abc", None, None, "d") for _ in range(2))
     assert len(list(warc.records(data))) == 6
     with pytest.raises(ValueError):
@@ -323,6 +384,8 @@ def test_pii(spark):
     for t in texts:
         assert [(s.kind, s.start, s.end) for s in pii.find(t) if s.kind in pii.BASE] == pii_brute(t), t
     assert [s.kind for s in pii.find("our iban GB82 WEST 1234 5698 7654 32 and ssn 123-45-6789, " + "x " * 30 + "part 123-45-6788")] == ["iban", "ssn"]
+    for t in ("IBAN GB82 WEST 1234 5698 7654 32 TODAY", "iban GB82WEST12345698765432 2024", "account DE89370400440532013000.", "iban: NO93 8601 1117 947 AND MORE"):
+        assert [s.kind for s in pii.find(t) if s.kind == "iban"] == ["iban"], t
     assert pii.find("x" * 300_000 + "1" * 300_000) == [] and pii.find("GB82 WEST 1234 5698 7654 33") == []
     rows = spark.createDataFrame([(1, "a@b.cc", "k"), (None, None, "k"), (2, "", "k")], "doc_id long, text string, found string")
     assert sorted(len(x.found) for x in pii.detect(rows).collect()) == [0, 0, 1]
@@ -361,6 +424,11 @@ def test_leaks_with_other_names_and_numbers():
     assert leaks(["Who is Tom"], ["Alice is Bob"]) == {}
 
 
+def test_leaks_of_repeated_windows():
+    item = "a b " * 20_000  # meeting all places for each window took minutes at 2,000
+    assert leaks([item], [item, "a b " * 10_000]) == {(0, 0): "verbatim"}
+
+
 def test_leaks_in_any_context_case_and_script():
     bench = ["What is the capital of France?", "Welche Straße führt nach Köln am Rhein", "法国的首都是哪一座城市？", "Какой город является столицей Франции?", "Which river does the Tower Bridge of London cross"]
     there = ['He asked, "{}" and left', "so ({}) it is", "我们问：「{}」然后走了", "「{}", "他说过{}对吧"]
