@@ -40,7 +40,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((first + k * capacity, capacity) for k in range(whole))]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, space_free: bool = False, cache_bytes: int = 128 << 20) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, space_free: bool = False, cache_bytes: int = 192 << 20) -> DataFrame:
     """PIECES: every document's pieces, with their place among the pieces of that length in the same task."""
 
     def run(batches: Iterator) -> Iterator:
@@ -50,7 +50,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, sp
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         enc, end = tokens.encoder(tokenizer, space_free, cache_bytes), np.array([end_id], "<u4").tobytes()
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
-        for ids, texts in tokens.gathered(batches):
+        for ids, texts in tokens.gathered(batches, min(6_000_000, cache_bytes // 16)):
             rows = []
             for doc_id, got in zip(ids, enc.encode(texts), strict=True):
                 got += end
@@ -110,7 +110,7 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
     return np.array(moves, np.int64).reshape(-1, 5), opened
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, space_free: bool = False, cache_bytes: int = 128 << 20) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, space_free: bool = False, cache_bytes: int = 192 << 20) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
     pieces = common.materialize(token_pieces(docs, tokenizer, capacity, end_id, space_free, cache_bytes), "pieces")

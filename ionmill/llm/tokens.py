@@ -34,13 +34,14 @@ class TextEncoder:
     special_as_text: a text that spells an added token is encoded as ordinary text, not as that token.
     """
 
-    def __init__(self, path: str, space_free: bool = False, cache_bytes: int = 128 << 20, special_as_text: bool = False):
+    def __init__(self, path: str, space_free: bool = False, cache_bytes: int = 192 << 20, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(added), re.I).search if added and not special_as_text else lambda text: None
+        added = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.head = re.match("[^a-zA-Z]*", os.path.commonprefix(added))[0]  # what all added tokens begin with; a cheap test before the search
+        self.special = re.compile("|".join(map(re.escape, added)), re.I).search if added else None
         self.space_free, self.cache_bytes = space_free, cache_bytes
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -93,7 +94,7 @@ class TextEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """One byte string per text. Nulls are the caller's to replace."""
         out: dict[int, bytes] = {}
-        odd = [i for i, t in enumerate(texts) if _ODD_SPACE.search(t) or self.special(t)]
+        odd = [i for i, t in enumerate(texts) if _ODD_SPACE.search(t) or self.special and self.head in t and self.special(t)]
         out.update(zip(odd, self.library([texts[i] for i in odd]), strict=True))
         split = {i: self._split(t) for i, t in enumerate(texts) if i not in out}
         wanted: set[str] = set()
@@ -111,7 +112,7 @@ class TextEncoder:
 _ENCODERS: dict[tuple, TextEncoder] = {}
 
 
-def encoder(path: str, space_free: bool = False, cache_bytes: int = 128 << 20, special_as_text: bool = False) -> TextEncoder:
+def encoder(path: str, space_free: bool = False, cache_bytes: int = 192 << 20, special_as_text: bool = False) -> TextEncoder:
     """The encoder of this Python worker; workers are reused, and so is the cache. A worker holds one encoder at a time."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     key = (path, space_free, cache_bytes, special_as_text)
@@ -121,7 +122,7 @@ def encoder(path: str, space_free: bool = False, cache_bytes: int = 128 << 20, s
     return _ENCODERS[key]
 
 
-def gathered(batches: Iterator, most_chars: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:
+def gathered(batches: Iterator, most_chars: int = 6_000_000) -> Iterator[tuple[list, list[str]]]:
     """(ids, texts) of the first two columns, in runs of about that many characters whatever the batches; null texts are empty."""
     ids: list = []
     texts: list[str] = []
