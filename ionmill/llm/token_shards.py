@@ -99,7 +99,7 @@ class Shard:
         return np.concatenate(out) if out else np.zeros(0, "<u4")
 
 
-def write_token_shards(docs: DataFrame, path: str, tokenizer: str, *, space_free: bool = True, end_id: int = 2, block_ids: int = 4096, file_ids: int = 2_000_000, special_as_text: bool = False) -> list[int]:
+def write_token_shards(docs: DataFrame, path: str, tokenizer: str, *, space_free: bool = True, end_id: int = 2, block_ids: int = 4096, file_ids: int = 2_000_000, special_as_text: bool = False, cache_bytes: int = 352 << 20) -> list[int]:
     """Encode ``docs`` (doc_id, text) into files under ``path``, in ascending doc_id order; the ids of each partition, in order."""
 
     def write(batches: Iterator) -> Iterator:
@@ -107,7 +107,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, *, space_free
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        enc = tokens.encoder(tokenizer, space_free, special_as_text=special_as_text)
+        enc = tokens.encoder(tokenizer, space_free, cache_bytes, special_as_text)
         width = id_width(max(enc.vocab_size, end_id + 1))
         end = np.array([end_id], "<u4").tobytes()
         held: list[tuple[int | None, bytes]] = []
