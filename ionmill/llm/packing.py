@@ -40,7 +40,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((first + k * capacity, capacity) for k in range(whole))]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, space_free: bool = False, cache_bytes: int = 192 << 20) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, space_free: bool = False, cache_bytes: int = 224 << 20) -> DataFrame:
     """PIECES: every document's pieces, with their place among the pieces of that length in the same task."""
 
     def run(batches: Iterator) -> Iterator:
@@ -110,9 +110,10 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
     return np.array(moves, np.int64).reshape(-1, 5), opened
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, space_free: bool = False, cache_bytes: int = 192 << 20) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, space_free: bool = False, cache_bytes: int = 224 << 20) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
+    common.slim(spark)
     pieces = common.materialize(token_pieces(docs, tokenizer, capacity, end_id, space_free, cache_bytes), "pieces")
     per_task = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")

@@ -99,7 +99,7 @@ class Shard:
         return np.concatenate(out) if out else np.zeros(0, "<u4")
 
 
-def write_token_shards(docs: DataFrame, path: str, tokenizer: str, *, space_free: bool = True, end_id: int = 2, block_ids: int = 4096, file_ids: int = 2_000_000, special_as_text: bool = False, cache_bytes: int = 192 << 20) -> list[int]:
+def write_token_shards(docs: DataFrame, path: str, tokenizer: str, *, space_free: bool = True, end_id: int = 2, block_ids: int = 4096, file_ids: int = 2_000_000, special_as_text: bool = False, cache_bytes: int = 224 << 20) -> list[int]:
     """Encode ``docs`` (doc_id, text) into files under ``path``, in ascending doc_id order; the ids of each partition, in order."""
 
     def write(batches: Iterator) -> Iterator:

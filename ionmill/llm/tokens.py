@@ -9,6 +9,7 @@ because these need context.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
@@ -145,6 +146,15 @@ class TextEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """One byte string per text. Nulls are the caller's to replace."""
+        collects = gc.isenabled()
+        gc.disable()  # nothing here is in a cycle, and a collection would walk the cache
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         out: dict[int, bytes] = {}
         odd = [i for i, t in enumerate(texts) if any(map(t.__contains__, _ODD_SPACE)) or self.special and self.head in t and self.special(t)]
         out.update(zip(odd, self.library([texts[i] for i in odd]), strict=True))
