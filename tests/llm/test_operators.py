@@ -67,6 +67,10 @@ def test_encoder_is_the_library(name, space_free, special_as_text):
         texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(100)]
         assert e.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in lib.encode_batch(texts, add_special_tokens=False)]
         assert e.held <= 30_000 and len(e.old) <= 150
+    words = ["The", "würde", "don't", "a,b", "12", "x...", "Ñandú###", "Σ", "中", "²", "\0"]
+    for _ in range(30):  # single white space, at the ends, too
+        texts = [r.choice(["", " ", "\n"]) + "".join(r.choice(words) + r.choice(" \n") for _ in range(r.randint(0, 20))) + r.choice(["", *words]) for _ in range(100)]
+        assert e.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in lib.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_token_files(spark, docs, empty, tmp_path):
