@@ -93,12 +93,23 @@ class Model:
         return order[0], gap, gap < self.reject_margin
 
 
+def least(draws: DataFrame, most: int, fan: int = 16) -> DataFrame:
+    """lang, draw, place (from 1) of the ``most`` least draws per language; ``draws`` holds different (lang, draw) rows.
+
+    ``fan`` slices of the partitions are ranked first, and only their least go on: a language that most rows share is spread over that many tasks,
+    and the last ranking meets at most fan * most rows of it, however many there are. The slices are no part of the result.
+    """
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("draw"))
+    sliced = draws.withColumn("slice", F.spark_partition_id() % fan)
+    some = sliced.withColumn("place", first("lang", "slice")).where(F.col("place") <= most).select("lang", "draw")
+    return some.withColumn("place", first("lang")).where(F.col("place") <= most)
+
+
 def fit(docs: DataFrame, sample_docs: int = 120, sample_chars: int = 20_000, **settings) -> Model:
     """Learn from (doc_id, text, lang); rows without lang or text are no use. The driver gets sample_docs rows per language."""
     draw = F.xxhash64("doc_id", "text")
     usable = docs.where((F.col("lang").isNotNull()) & (F.length("text") <= sample_chars)).select("lang", draw.alias("draw"), "text")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
-    chosen = usable.select("lang", "draw").distinct().withColumn("place", place).where(F.col("place") <= sample_docs)
+    chosen = least(usable.select("lang", "draw").distinct(), sample_docs)
     found = usable.join(F.broadcast(chosen), ["lang", "draw"]).groupBy("lang", "place").agg(F.first("text").alias("text")).collect()
     sample: dict[str, list[bytes]] = {}
     for r in sorted(found, key=lambda r: (r.lang, r.place)):

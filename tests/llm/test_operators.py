@@ -239,6 +239,17 @@ def test_language(spark, empty):
     assert langid.predict(df, none).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
+def test_language_sample_is_the_least_draws_of_each_language(spark):
+    r = random.Random(9)
+    rows = {("hot" if k % 3 else f"l{k % 4}", r.getrandbits(60) - (1 << 59)) for k in range(9000)} | {("few", 7), ("few", -7)}
+    df = spark.createDataFrame(sorted(rows), "lang string, draw long").repartition(40, "draw")
+    want = {(lang, d, k + 1) for lang in {x for x, _ in rows} for k, d in enumerate(sorted(d for x, d in rows if x == lang)[:25])}
+    for fan in (1, 3, 16):
+        got = [(x.lang, x.draw, x.place) for x in langid.least(df, 25, fan).collect()]
+        assert set(got) == want and len(got) == len(want)
+    assert not langid.least(df.limit(0), 25).collect()
+
+
 def test_language_of_long_texts():
     r = random.Random(5)
     stems = {"aa": ["bal", "tor", "min", "ke"], "bb": ["schu", "ung", "ver", "lich"]}
